@@ -32,7 +32,7 @@ NUMER, DENOM = 75, 100
 #: Tokens of the sets that one task joins at a time; a larger group is cut.
 MOST_TOKENS = 300_000
 PIVOTS = 32
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 _LOW = np.uint64((1 << 48) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 

@@ -40,7 +40,7 @@ FEATURES = 1 + 2 * WIDE + HASHED
 #: Words in the broadcast dictionary, about.
 FREQUENT = 200_000
 ROUNDS = 8
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 
 _WORDS, _CONTEXTS, _DOCS, _RARE = range(4)
 
