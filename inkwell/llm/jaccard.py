@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,11 +206,31 @@ def tree_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], probe
     return out
 
 
+def _block(chunk: np.ndarray, nb: int) -> np.ndarray:
+    """Where a slice of documents is put together again."""
+    return (mix(chunk.astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
+
+
+def _five(x: np.ndarray) -> np.ndarray:
+    """The low five bytes of each number; with its bucket they name a shingle."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+
+
+def _from_five(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = x.reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _map(nb: int):
+    """A slice's documents go to the slice's block; their shingles go by hash and name them by slice and place in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], int] = {}
-        for batch, data in chunks(batches):
+        for k, (batch, data) in enumerate(chunks(batches)):
             out = Out()
+            chunk = np.array([TaskContext.get().partitionId() << 32 | k], np.int64)
+            home = int(_block(chunk, nb)[0])
             ids = batch.column("doc_id").to_numpy()
             docs = [x.lower().split() for x in data]
             at = offsets(docs)
@@ -220,62 +241,57 @@ def _map(nb: int):
             two = np.concatenate([[0], np.cumsum(mix(s ^ _ODD[1]), dtype=np.uint64)]).astype(np.uint64)
             one, two = one[ends[1:]] - one[ends[:-1]], two[ends[1:]] - two[ends[:-1]]
             rep, fresh = ids.copy(), np.zeros(len(docs), bool)
-            for k, key in enumerate(zip(one.tolist(), two.tolist(), n.tolist(), strict=True)):
+            for i, key in enumerate(zip(one.tolist(), two.tolist(), n.tolist(), strict=True)):
                 if key[2]:
-                    rep[k] = seen.setdefault(key, int(ids[k]))
-                    fresh[k] = rep[k] == ids[k]
-            # A document's own row; any bucket will do.
-            out.add(_DOCS, int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(nb)), ids, rep, n)
+                    rep[i] = seen.setdefault(key, int(ids[i]))
+                    fresh[i] = rep[i] == ids[i]
+            out.add(_DOCS, home, chunk, np.array([len(ids)], np.uint32), ids, rep, n.astype(np.uint32))
             use = np.flatnonzero(fresh)
-            for k, x in split_by(bucket_of(one[use], nb), nb):
-                out.add(_SIGNS, k, ids[use[x]], one[use[x]], two[use[x]])
+            for b, x in split_by(bucket_of(one[use], nb), nb):
+                out.add(_SIGNS, b, ids[use[x]], one[use[x]], two[use[x]], np.repeat(chunk, len(x)))
             on = fresh[doc]
             doc, s = doc[on], s[on]
-            for k, x in split_by(bucket_of(s, nb), nb):
+            for b, x in split_by(bucket_of(s, nb), nb):
                 who, count = runs(doc[x])
-                low = (s[x] & _LOW).view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
-                out.add(_POSTINGS, k, ids[who], n[who].astype(np.uint32), count.astype(np.uint32), low)
+                out.add(_POSTINGS, b, chunk, np.array([len(who)], np.uint32), who.astype(np.uint32), count.astype(np.uint32), _five(s[x]))
             yield out.batch()
 
     return run
 
 
 def _count(nb: int):
-    """A bucket's shingles: those of two sets or more go to their documents' blocks; equal signatures get one document."""
+    """A bucket's shingles: those of two sets or more go back to their slices' blocks; equal signatures get one document."""
 
     def run(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
         out = Out()
-        block = lambda ids: (mix(ids.astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
         for p in got.get(_DOCS, []):
             out.kind.append(_DOCS)
             out.bucket.append(bucket)
             out.payload.append(p)
         if _SIGNS in got:
-            ids, one, two = join(got[_SIGNS])
+            ids, one, two, chunk = join(got[_SIGNS])
             order = np.lexsort((ids, two, one))
-            ids, one, two = ids[order], one[order], two[order]
+            ids, one, two, chunk = ids[order], one[order], two[order], chunk[order]
             first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
             root = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
             on = np.flatnonzero(root != ids)
-            for k, x in split_by(block(ids[on]), nb):
-                out.add(_SAME, k, ids[on[x]], root[on[x]])
+            for b, x in split_by(_block(chunk[on], nb), nb):
+                out.add(_SAME, b, ids[on[x]], root[on[x]])
         if _POSTINGS in got:
-            ids, n, count, low = join(got[_POSTINGS])
-            ids, n = np.repeat(ids, count), np.repeat(n, count)
-            s = np.zeros((len(ids), 8), np.uint8)
-            s[:, :6] = low.reshape(-1, 6)
-            s = s.view(np.uint64).ravel()
+            chunk, size, who, count, low = join(got[_POSTINGS])
+            chunk = np.repeat(np.repeat(chunk, size), count)
+            who, s = np.repeat(who, count), _from_five(low)
             order = np.argsort(s, kind="stable")
-            value, size = runs(s[order])
-            df = np.empty(len(s), np.uint32)
-            df[order] = np.repeat(size, size)
+            _, times = runs(s[order])
+            df = np.empty(len(s), np.uint16)
+            df[order] = np.repeat(np.minimum(times, 65535), times)
             on = np.flatnonzero(df > 1)
-            on = on[np.argsort(ids[on], kind="stable")]
-            token = s[on] | np.uint64(bucket & 0xFFFF) << np.uint64(48)
-            for k, x in split_by(block(ids[on]), nb):
-                who, m = runs(ids[on[x]])
-                f = np.concatenate([[0], np.cumsum(m)[:-1]])
-                out.add(_POSTINGS, k, who, n[on[x]][f], m.astype(np.uint32), token[x], df[on[x]])
+            # The bucket's number is the same for all, so five bytes and it are the token.
+            for b, x in split_by(_block(chunk[on], nb), nb):
+                x = on[x]
+                cs, cn = runs(chunk[x])
+                pair, pn = runs(chunk[x] << 20 | who[x])
+                out.add(_POSTINGS, b, np.array([bucket], np.uint32), np.array([len(x)], np.uint32), np.array([len(pair)], np.uint32), np.array([len(cs)], np.uint32), cs, cn.astype(np.uint32), (pair & 0xFFFFF).astype(np.uint32), pn.astype(np.uint32), _five(s[x]), df[x])
         return as_table([out.batch()])
 
     return run
@@ -288,37 +304,71 @@ _FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("other", pa.i
 def _documents(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
     """A block's documents: their rows, those with an equal set elsewhere, and the sets that can have links."""
     parts = []
-    if _DOCS in got:
-        ids, rep, n = join(got[_DOCS])
-        parts.append((np.full(len(ids), _DOCS), ids, rep, n, np.zeros(len(ids)), [None] * len(ids)))
     copies: set[int] = set()
     if _SAME in got:
         ids, root = join(got[_SAME])
         copies = set(ids.tolist())
         parts.append((np.full(len(ids), _SAME), ids, root, np.zeros(len(ids)), np.zeros(len(ids)), [None] * len(ids)))
+    if _DOCS in got:
+        slices, size, ids, rep, n = join(got[_DOCS])
+        parts.append((np.full(len(ids), _DOCS), ids, rep, n, np.zeros(len(ids)), [None] * len(ids)))
+        base = np.cumsum(size) - size
+        order = np.argsort(slices)
+        slices, base = slices[order], base[order]
     if _POSTINGS in got:
-        ids, n, m, token, df = join(got[_POSTINGS])
-        ids, n = np.repeat(ids, m), np.repeat(n, m).astype(np.int64)
-        order = np.lexsort((token, df, n, ids))
-        ids, n, token = ids[order], n[order], token[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (n[1:] != n[:-1]) | (token[1:] != token[:-1])
-        ids, n, token = ids[new], n[new], token[new]
-        at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])]))
-        end = np.append(at[1:], len(ids))
-        size, m = n[at], end - at
-        keep = [k for k in np.flatnonzero(DENOM * m >= NUMER * size) if int(ids[at[k]]) not in copies]
-        prefix = prefix_length(size) - (size - m)
-        parts.append((np.full(len(keep), _POSTINGS), ids[at[keep]], ids[at[keep]], size[keep], prefix[keep], [token[at[k] : end[k]].astype("<u8").tobytes() for k in keep]))
+        where, size, pairs, n_slices, cs, cn, who, count, low, df = join(got[_POSTINGS])
+        chunk = np.repeat(cs, cn)
+        # A document's place in the block; it is known by its slice and number there.
+        row = base[np.searchsorted(slices, chunk)] + np.repeat(who, count)
+        token = mix(_from_five(low) | np.repeat(where.astype(np.uint64), size) << np.uint64(40)) & _LOW
+        order = np.lexsort((token, df, row))
+        row, token = row[order], token[order]
+        at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        end, whole = np.append(at[1:], len(row)), n[row[at]].astype(np.int64)
+        keep = [k for k in np.flatnonzero(DENOM * (end - at) >= NUMER * whole) if int(ids[row[at[k]]]) not in copies]
+        own = ids[row[at[keep]]] if keep else np.zeros(0, np.int64)
+        prefix = prefix_length(whole) - (whole - (end - at))
+        parts.append((np.full(len(keep), _POSTINGS), own, own, whole[keep], prefix[keep], [_six(token[at[k] : end[k]]) for k in keep]))
     cols = list(zip(*parts, strict=True))
     return pa.Table.from_arrays([*(pa.array(np.concatenate(c).astype(np.int64)).cast(f.type) for c, f in zip(cols[:5], _FOUND, strict=False)), pa.array([x for c in cols[5] for x in c], pa.binary())], schema=_FOUND)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prefix = batch.column("prefix").to_pylist()
-        tokens = [np.frombuffer(t, "<i8", p) for t, p in zip(batch.column("tokens").to_pylist(), prefix, strict=True)]
-        yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), "doc_id": pa.array(np.repeat(batch.column("doc_id").to_numpy(), prefix), pa.int64())})
+def _six(token: np.ndarray) -> bytes:
+    return np.ascontiguousarray(token).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _tokens(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _prefixes(nb: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, prefix = Out(), batch.column("prefix").to_numpy()
+            if batch.num_rows:
+                token = np.concatenate([_tokens(t)[:p] for t, p in zip(batch.column("tokens").to_pylist(), prefix.tolist(), strict=True)])
+                ids = np.repeat(batch.column("doc_id").to_numpy(), prefix)
+                for b, x in split_by((token % np.uint64(nb)).astype(np.int64), nb):
+                    who, count = runs(ids[x])
+                    out.add(_POSTINGS, b, who, count.astype(np.uint32), token[x])
+            yield out.batch()
+
+    return run
+
+
+def _near(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
+    """For each rare shingle its smallest document, joined to the others: as many pairs as documents, not their square."""
+    ids, count, token = join(got[_POSTINGS])
+    ids = np.repeat(ids, count)
+    order = np.lexsort((ids, token))
+    ids, token = ids[order], token[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    least = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
+    on = least != ids
+    pairs = np.unique(np.stack([ids[on], least[on]], axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -334,7 +384,7 @@ def _links(table: pa.Table) -> pa.Table:
         ids, sizes = np.array([rows["doc_id"][k] for k in own]), np.array([rows["n"][k] for k in own])
         probe = np.array([bool(rows["probe"][k]) for k in own])
         known = np.array([rows["known"][k] for k in own])
-        out += tree_links(ids, sizes, [np.frombuffer(rows["tokens"][k], "<u8") for k in own], None if probe.all() else probe, known)
+        out += tree_links(ids, sizes, [_tokens(rows["tokens"][k]) for k in own], None if probe.all() else probe, known)
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
@@ -355,12 +405,9 @@ def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_T
     same = found.where(f"kind = {_SAME}").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
     sets = found.where(f"kind = {_POSTINGS}").select("doc_id", "n", "prefix", "tokens")
 
-    prefixes = scratch.save(sets.mapInArrow(_prefixes, "token long, doc_id long"), "prefixes")
-    first = prefixes.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("z")).where("b <> z").select("token", "b")
-    near = prefixes.join(first, "token").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    near = reduce_buckets(sets.select("doc_id", "prefix", "tokens").mapInArrow(_prefixes(nb), SCHEMA), _near, "a long, b long")
     group = connected(scratch, near, "groups").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
-    sets = scratch.save(sets.join(group, "doc_id").withColumn("weight", F.octet_length("tokens") / 8), "sets")
-    scratch.drop("prefixes")
+    sets = scratch.save(sets.join(group, "doc_id").withColumn("weight", F.octet_length("tokens") / 6), "sets")
     parts = sets.groupBy("group").agg(F.ceil(F.sum("weight") / most_tokens).cast("int").alias("parts"), F.count("*").alias("members"))
     large = scratch.save(parts.where("parts > 1"), "large")
     any_large = not large.isEmpty()
