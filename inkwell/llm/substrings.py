@@ -78,7 +78,7 @@ class Symbols:
 
 
 def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, name, certain, symbol's number) of each window: its longest certain symbol, ties by name.
+    """(first word, name, certain, symbol's number) of each window: its longest certain symbol, ties by name, and the next one.
 
     A window's certain part shrinks as names could differ in another occurrence: the runs at its ends
     (they may go on outside), then in each round a right symbol at its start and a left one at its end (they may have
@@ -112,7 +112,10 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int = R
     for k in range(1, int((e - f).max()) + 1):
         j = np.minimum(f + k, e)
         best = np.where(rank[j] > rank[best], j, best)
-    return s, np.where(ok, sym.name[best], np.uint64(0)), ok, best
+    # With a neighbour that is certain too, it is seldom repeated by chance.
+    more = np.where(best < e, best + 1, np.maximum(best - 1, f))
+    name = mix(sym.name[best] * _A + mix(sym.name[more] + _B)) + (more > best).astype(np.uint64)
+    return s, np.where(ok, name, np.uint64(0)), ok, best * 4 + (more - best)
 
 
 def window_hashes(h: np.ndarray, start: np.ndarray, window: int = WINDOW) -> np.ndarray:
