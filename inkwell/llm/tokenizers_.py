@@ -76,18 +76,40 @@ class WordEncoder:
         self.model.no_padding()
         self.known: dict[bytes, bytes] = {}
 
+    #: Words that a worker remembers; about 250 bytes each.
+    MOST = 800_000
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > MOST_CUTS:
+        if len(self.known) > self.MOST:
             self.known.clear()
         known = self.known
         parts = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        new = {w: self.pieces(w.decode()) for w in set(chain.from_iterable(parts)).difference(known)}
+        ids: dict[str, bytes] = {}
+        for p in set(chain.from_iterable(new.values())):
+            done = known.get(p.encode())
+            if done is not None:
+                ids[p] = done
+        left = list(set(chain.from_iterable(new.values())).difference(ids))
+        for i in range(0, len(left), 20_000):
+            some = left[i : i + 20_000]
+            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids[p] = known[p.encode()] = np.array(e.ids, "<u4").tobytes()
+        for w, own in new.items():
+            known[w] = b"".join(map(ids.__getitem__, own))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
+    @staticmethod
+    def pieces(word: str) -> tuple[str, ...]:
+        """The word in parts that are encoded apart: Latin letters, lower-cased as the library does, and one mark behind them.
+
+        Below U+0100 every letter's lower case is one letter in any place, and is composed already.
+        """
+        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if stem.isalpha() and max(stem) < "\u0100":
+            return (stem.lower(), mark) if mark else (stem.lower(),)
+        return (word,)
+
 
 @lru_cache(maxsize=2)
 def piece_counter(path: str) -> PieceCounter:
