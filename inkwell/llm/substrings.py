@@ -31,7 +31,7 @@ from inkwell.llm.packets import SCHEMA, Out, as_table, join, reduce_buckets, run
 WINDOW = 20
 #: Pair rounds. Each round at most doubles a symbol and makes at most one more symbol at each edge uncertain.
 ROUNDS = 4
-BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 48) - 1)
 
