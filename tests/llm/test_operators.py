@@ -335,3 +335,13 @@ def test_pipeline(spark, tmp_path):
     assert 51 not in kept and 60 not in kept and {40, 41, 50, *range(30)} <= set(kept)
     assert len(kept[41]["text"].split()) == 40 and kept[41]["n_chars"] == len(kept[41]["text"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+
+
+def test_word_encoder_equals_library_on_hard_words():
+    from inkwell.llm.tokenizers_ import WordEncoder
+
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    hard = ["H̱a İ don't, WE'LL go! <|endoftext|>x <|ENDOFTEXT|> 3.5 \"a\".", "ΣΑΣ, İx K, a b \x1cc\x85d ﬁ. ...", "foo,bar;baz Å. 日本語, ǅ. ×. ·, é!", "́x a̱᷄ ١٢, ㎏. ≮ ?", "", "   ", "a,.b;c 1.5 x.y'S"]
+    for _ in range(2):  # words unknown, then remembered
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in hard])]
+        assert got == [encoder.model.encode(t, add_special_tokens=False).ids for t in hard]
