@@ -29,6 +29,8 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids that a shard takes before the next one begins.
 SHARD_IDS = 500_000
+#: UTF-8 bytes that are encoded at a time; more let more words be told apart at once.
+ENCODE_BYTES = 12_000_000
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -36,6 +38,13 @@ def _widths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
+def _exceptions(start: np.ndarray, width: np.ndarray, n_over: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each exception's position and high part; block has the exceptions' block numbers, in order."""
+    first = start + 6 + 16 * width.astype(np.int64)
+    rank = np.arange(len(block)) - (np.cumsum(n_over) - n_over)[block]
+    return first[block] + rank, (first[block] + n_over[block] + 4 * rank)[:, None] + np.arange(4)
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
     """The blocks of ids (u32) and their byte positions. Blocks of one width are packed together."""
     n = -(-len(ids) // BLOCK)
@@ -60,11 +69,10 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, np.nda
             own = np.flatnonzero(width == w)
             plane = ((diff[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
             out[(at[own] + 6)[:, None] + np.arange(16 * int(w))] = np.packbits(plane.reshape(len(own), -1), axis=1, bitorder="little")
-    for k in np.flatnonzero(n_over):
-        p = np.flatnonzero(over[k]).astype(np.uint8)
-        s = at[k] + 6 + 16 * int(width[k])
-        out[s : s + len(p)] = p
-        out[s + len(p) : s + 5 * len(p)] = (diff[k][p] >> np.uint32(width[k])).astype("<u4").view(np.uint8)
+    block, place = np.nonzero(over)
+    spot, high = _exceptions(at[:-1], width, n_over, block)
+    out[spot] = place
+    out[high] = (diff[block, place] >> width[block]).astype("<u4").view(np.uint8).reshape(-1, 4)
     return out.tobytes(), at.astype(np.uint64)
 
 
@@ -88,9 +96,9 @@ def unpack(data: bytes, at: np.ndarray, n_ids: int, first: int = 0, last: int |
             for b in range(int(w)):
                 sum_ |= plane[:, :, b].astype(np.uint32) << np.uint32(b)
             diff[own] = sum_
-    for k in np.flatnonzero(n_over):
-        e, s = int(n_over[k]), int(start[k]) + 6 + 16 * int(width[k])
-        diff[k][raw[s : s + e]] |= raw[s + e : s + 5 * e].copy().view("<u4") << np.uint32(width[k])
+    block = np.repeat(np.arange(n), n_over)
+    spot, high = _exceptions(start, width, n_over.astype(np.int64), block)
+    diff[block, raw[spot]] |= raw[high].view("<u4").ravel() << width[block].astype(np.uint32)
     return (diff + low[:, None]).ravel()[: n_ids - first * BLOCK]
 
 
@@ -138,7 +146,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key:
             data = write_shard(keys, ids)
             return pa.RecordBatch.from_pydict({"shard_no": pa.array([number], pa.int64()), "first_key": pa.array([keys[0]], pa.int64()), "last_key": pa.array([keys[-1]], pa.int64()), "n_ids": pa.array([size // 4], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for batch, data in chunks(batches):
+        for batch, data in chunks(batches, limit=ENCODE_BYTES):
             for k, x in zip(batch.column("row_key").to_pylist(), encoder.encode(data), strict=True):
                 keys.append(k)
                 ids.append(x + end)

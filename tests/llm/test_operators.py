@@ -345,3 +345,39 @@ def test_word_encoder_equals_library_on_hard_words():
     for _ in range(2):  # words unknown, then remembered
         got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in hard])]
         assert got == [encoder.model.encode(t, add_special_tokens=False).ids for t in hard]
+
+
+def test_word_encoder_on_odd_texts():
+    """Marks, composing letters, special strings and all kinds of white space, against the library."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    from inkwell.llm.tokenizers_ import WordEncoder
+
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "É", "İ", "ß", "'s", "'LL", " ", " ", "\n", "\t", "\x1c", "\x85", "\x0b", "1", "23", ".", ",", "!?", "<|endoftext|>", "<|", "$$", "中", "ﬁ", "Σ", "é", ";", "​", "😀", "-", "\x00", "don't", "It's."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", " ", "a" * 50_000, ". ."]
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    expected = [np.array(e.ids, "<u4").tobytes() for e in encoder.model.encode_batch(texts, add_special_tokens=False)]
+    for most in (encoder.MOST, 0):  # with its memory, and when that starts anew
+        encoder.MOST = most
+        assert encoder.encode([x.encode() for x in texts]) == expected
+    assert encoder.encode([]) == []
+
+
+def test_blocks_with_many_exceptions():
+    import numpy as np
+
+    from inkwell.llm.packed_ids import BLOCK, pack, unpack
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 127, 128, 129, 3000):
+        for high in (1, 2, 1 << 9, 1 << 32):
+            ids = rng.integers(0, high, n, dtype=np.uint64).astype(np.uint32)
+            ids[rng.random(n) < 0.08] = 0xFFFFFFFF
+            data, at = pack(ids)
+            assert (unpack(data, at, n) == ids).all()
+            if n > 2 * BLOCK:
+                assert (unpack(data, at, n, 1, 2) == ids[BLOCK : 2 * BLOCK]).all()
