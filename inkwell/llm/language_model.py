@@ -1,18 +1,22 @@
-"""LM scoring: a maximum-entropy model with a class-factored softmax.
+"""LM scoring: word n-grams and skips under a class-factored softmax.
 
 A word's probability is its class's, given the words before, times the word's within the class. A word's class is a hash
-of its ending, so it is known without a dictionary; the end of a text is a class of its own. Over the classes stands a
-softmax of hashed features of the context: the class before (bigram), the two before (trigram), and the one
-before last alone (skip). Within a class a word has its add-one share of the class's counts.
+of its ending, so it is known without a dictionary; the end of a text is a class of its own. Both factors sum to 1.
 
-1. One pass counts words, and classes by context, over all training documents.
-2. Weights start at the counts' log ratios and are updated by the gradient, which is computed by Spark over the table
-   of contexts and summed; the table has CONTEXTS rows at most, whatever the corpus.
-3. A second pass scores. A bounded dictionary of the most frequent words is broadcast; the other words are
-   shuffled by hash, meet their own counts there, and come back as one sum for each document.
+1. One pass counts words, and classes by the classes of two words before, over all training documents. A softmax of hashed
+   features of these class contexts is fitted by gradients that Spark computes; it is the prior of the class factor only.
+2. Every token goes by the hash of the word before last to all others of that word. There its class has the skip's counts
+   (word before last alone) over the prior, and the counts of the word trigram's context over those. Words outside the
+   broadcast dictionary meet their own counts in the same shuffle.
+3. Every token goes by the hash of the word before and its class to all others of these. There it has the word bigram's
+   counts over its add-one share of the class, and the word trigram's over those.
+
+Steps 2 and 3 gather n-grams of all training documents, so what they hold grows with the corpus. Their logits are closed
+functions of the counts (``over``), not weights fitted by gradients: with an exact sum for each context, without a table
+that must be held at once.
 
 Lower-casing is A-Z only, words are ``[^\\x20\\x09-\\x0D]+``, followed by one end. Null and empty texts consist of the end.
-Rows without doc_id are left out; repeated rows get equal scores, as each row's words count by themselves.
+Rows without doc_id are left out; rows are told apart by doc_id and text, and equal rows get equal scores.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,12 @@ FREQUENT = 200_000
 ROUNDS = 8
 BUCKETS_PER_PARTITION = 2
 
-_WORDS, _CONTEXTS, _DOCS, _RARE = range(4)
+#: Upper bits of a hash by which the dictionary is looked up.
+_HIGH = 18
+
+_WORDS, _CONTEXTS, _DOCS, _RARE, _SKIPS, _GRAMS, _BASE, _SUMS = range(8)
+#: What a context's prior weighs, in counts for each of its distinct outcomes and one more: skip and trigram of a class, bigram and trigram of a word.
+SKIP, PAIR, BIGRAM, TRIGRAM = 4.0, 0.5, 4.0, 0.5
 
 
 class Numbers(WordHash):
@@ -52,6 +62,11 @@ class Numbers(WordHash):
         self[word] = h = xxhash.xxh3_64_intdigest(word) & ~63 | xxhash.xxh3_64_intdigest(word[-2:]) & 63
         return h
 
+    def flat(self, docs: list[list[bytes]]) -> np.ndarray:
+        if len(self) > self.MOST:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.uint64, sum(map(len, docs)))
+
 
 @lru_cache(maxsize=1)
 def _numbers() -> Numbers:
@@ -206,24 +221,108 @@ def fit(cells: DataFrame, rounds: int = ROUNDS, rate: float = 0.7) -> np.ndarray
 
 
 class Model:
-    """What scoring needs, all of bounded size."""
+    """What all tasks of scoring need, of bounded size: the dictionary and the priors. N-grams are met by shuffle."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, by_class: np.ndarray, distinct: np.ndarray, ends: int, weights: np.ndarray) -> None:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
+        # Where the words of each value of the upper bits start, and how many there are at most.
+        self.first = np.searchsorted(self.words, np.arange(1 << _HIGH, dtype=np.uint64) << np.uint64(64 - _HIGH)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(self.words))).max())
+        # Words by falling count: a word's number in this order is small for most tokens.
+        self.ordered = np.argsort(-self.counts, kind="stable")
+        self.number = np.empty(len(words), np.uint32)
+        self.number[self.ordered] = np.arange(len(words))
         self.ends, self.n = ends, int(by_class.sum()) + ends
         self.v = int(distinct.sum()) + (ends > 0)
         self.base = float(np.log10(self.n + 1 * (self.v + 1)))
         self.within = np.log10(by_class + distinct + 1.0)
         self.classes = np.log10(softmax(weights, np.arange(CONTEXTS))).astype(np.float32)
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Each word's place in the dictionary; -1 if it isn't there."""
+        if not len(self.words):
+            return np.full(len(h), -1)
+        last = len(self.words) - 1
+        at = np.minimum(self.first[(h >> np.uint64(64 - _HIGH)).astype(np.int64)], last)
+        for _ in range(self.most):
+            at = np.minimum(at + (self.words[at] < h), last)
+        return np.where(self.words[at] == h, at, -1)
+
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is in the dictionary, and its count."""
-        if not len(self.words):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        found = self.words[at] == h
-        return found, np.where(found, self.counts[at], 0)
+        at = self.place(h)
+        found = at >= 0
+        return found, np.where(found, self.counts[at], 0) if len(self.words) else np.zeros(len(h), np.int64)
+
+
+def before(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of the words before last and before, for every token, ends included; 0 at the beginning. The lowest 6 are a word's class."""
+    n = np.diff(at) + 1
+    doc = np.repeat(np.arange(len(n)), n)
+    word = np.ones(len(doc), bool)
+    word[np.cumsum(n) - 1] = False
+    w = np.zeros(len(doc), np.uint32)
+    w[word] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    one, two = np.zeros_like(w), np.zeros_like(w)
+    one[1:] = np.where(doc[1:] == doc[:-1], w[:-1], 0)
+    two[2:] = np.where(doc[2:] == doc[:-2], w[:-2], 0)
+    return two, one
+
+
+def row_keys(ids: np.ndarray, data: list[bytes]) -> np.ndarray:
+    return mix(ids.astype(np.uint64)) ^ np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+
+
+def rank(key: np.ndarray) -> np.ndarray:
+    """Equal keys get equal numbers, from 0 on."""
+    order = np.argsort(key)
+    s = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])) if len(s) else 0
+    return out
+
+
+def over(context: np.ndarray, event: np.ndarray, train: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
+    """Each token's probability: its event's training count over the prior, which weighs more the more outcomes a context has.
+
+    event numbers (context, outcome); the sum over all outcomes of a context is 1 where the prior's is.
+    """
+    n, m = np.bincount(event, train), np.bincount(context, train)
+    of = np.zeros(len(n), np.int64)
+    of[event] = context
+    a = weight * (np.bincount(of, n > 0, len(m)) + 1)
+    return (n[event] + a[context] * prior) / (m + a)[context]
+
+
+def _wide(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+
+
+def _dealt(h: np.ndarray, nb: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions), in order; numpy sorts short numbers by radix."""
+    b = bucket_of(h, nb)
+    return split_by(b.astype(np.uint16) if nb < 1 << 16 else b, nb)
+
+
+def _place(one: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(_wide(one, c))
+
+
+def _short(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """24 bits of each word, as the words of a bucket are told apart by its own bits too."""
+    return w.astype(np.uint16), (w >> np.uint32(16)).astype(np.uint8)
+
+
+def _long(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint32) << np.uint32(16) | low
+
+
+def _sums(out: Out, kind: int, nb: int, keys: np.ndarray, *values: np.ndarray, to: type = np.float64) -> None:
+    who, doc = np.unique(keys, return_inverse=True)
+    added = [np.bincount(doc, v).astype(to) for v in values]
+    for k, x in _dealt(mix(who), nb):
+        out.add(kind, k, who[x], *(v[x] for v in added))
 
 
 def _score(shared, nb: int):
@@ -232,47 +331,114 @@ def _score(shared, nb: int):
         for batch, data in chunks(batches):
             out = Out()
             ids = batch.column("doc_id").to_numpy()
-            train = is_training(ids)
+            train = is_training(ids).astype(np.uint8)
+            keys = row_keys(ids, data)
             h, at = read(data)
             n_docs = len(ids)
-            doc, ctx, c = contexts(h, at)
+            doc, _, c = contexts(h, at)
+            two, one = before(h, at)
             word_doc = np.repeat(np.arange(n_docs), np.diff(at))
             found, count = m.known(h)
-            logs = np.where(found, np.log10(count + 1.0), 0)
-            end = np.log10(m.ends + 1.0)
-            base = np.bincount(word_doc, logs, n_docs) + end
+            base = np.bincount(word_doc, np.where(found, np.log10(count + 1.0), 0), n_docs) + np.log10(m.ends + 1.0)
             known = np.bincount(word_doc[found & (count > 0)], minlength=n_docs) + (m.ends > 0)
-            score = np.bincount(doc, m.classes[ctx, c], n_docs) - np.bincount(word_doc, m.within[(h & np.uint64(63)).astype(np.int64)], n_docs)
-            # A document's row; the sum of logs of counts belongs to both scores.
-            block = (mix(ids.astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
-            for k, x in split_by(block, nb):
-                out.add(_DOCS, k, ids[x], np.diff(at)[x] + 1, known[x], base[x], score[x] - end)
+            for k, x in _dealt(mix(keys), nb):
+                out.add(_DOCS, k, keys[x], ids[x], np.diff(at)[x] + 1, known[x], base[x])
+            for k, x in _dealt(mix(two.astype(np.uint64)), nb):
+                who, size = runs(doc[x])
+                out.add(_SKIPS, k, keys[who], train[who], size.astype(np.uint32), two[x], one[x], c[x].astype(np.uint8))
+            words = c < CLASSES
+            two, one = two[words], one[words]
             rest = np.flatnonzero(~found)
-            for k, x in split_by(bucket_of(h[rest], nb), nb):
+            for k, x in _dealt(h[rest], nb):
                 x = rest[x]
                 who, size = runs(word_doc[x])
-                out.add(_RARE, k, ids[who], train[who].astype(np.uint8), size.astype(np.uint32), h[x])
+                out.add(_RARE, k, keys[who], train[who], size.astype(np.uint32), h[x], two[x], one[x])
             yield out.batch()
 
     return run
 
 
-def _rare(nb: int):
+def _classes(shared, nb: int):
+    """Class factors of a bucket's words before last; the counts of its rare words, which go on to their bigrams."""
+
     def run(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
         out = Out()
         for p in got.get(_DOCS, []):
             out.kind.append(_DOCS)
             out.bucket.append(bucket)
             out.payload.append(p)
+        if _SKIPS in got:
+            keys, train, size, two, one, c = join(got.pop(_SKIPS))
+            train = np.repeat(train, size)
+            ctx = np.where(two == 0, CLASSES, two & 63).astype(np.int64) * WIDE + np.where(one == 0, CLASSES, one & 63)
+            v, pair = rank(two), rank(_wide(two, one))
+            p = over(v, v * WIDE + c, train, 10.0 ** shared.value.classes[ctx, c], SKIP)
+            p = over(pair, rank(pair * WIDE + c), train, p, PAIR)
+            _sums(out, _SUMS, nb, np.repeat(keys, size), np.log10(p), to=np.float32)
         if _RARE in got:
-            ids, train, size, h = join(got[_RARE])
-            ids, train = np.repeat(ids, size), np.repeat(train, size)
-            _, word = np.unique(h, return_inverse=True)
+            keys, train, size, h, two, one = join(got[_RARE])
+            keys, train = np.repeat(keys, size), np.repeat(train, size)
+            word = rank(h)
             count = np.bincount(word, train)[word]
-            who, doc = np.unique(ids, return_inverse=True)
-            logs, known = np.bincount(doc, np.log10(count + 1.0)), np.bincount(doc, count > 0).astype(np.int64)
-            for k, x in split_by((mix(who.astype(np.uint64)) % np.uint64(nb)).astype(np.int64), nb):
-                out.add(_RARE, k, who[x], logs[x], known[x].astype(np.uint32))
+            _sums(out, _BASE, nb, keys, np.log10(count + 1.0), count > 0)
+            for k, x in _dealt(_place(one, h & np.uint64(63)), nb):
+                out.add(_GRAMS, k, keys[x], train[x], *_short(two[x]), *_short(one[x]), (h[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32), count[x].astype(np.uint32))
+        return as_table([out.batch()])
+
+    return run
+
+
+def _grams(shared, nb: int):
+    """The tokens that the dictionary has, for the place of their bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for batch, data in chunks(batches):
+            out = Out()
+            ids = batch.column("doc_id").to_numpy()
+            train = is_training(ids).astype(np.uint8)
+            keys = row_keys(ids, data)
+            h, at = read(data)
+            two, one = before(h, at)
+            words = np.ones(len(two), bool)
+            words[np.cumsum(np.diff(at) + 1) - 1] = False
+            two, one = two[words], one[words]
+            doc = np.repeat(np.arange(len(ids)), np.diff(at))
+            place = m.place(h)
+            here = np.flatnonzero(place >= 0)
+            number = m.number[place] if len(m.number) else place
+            for k, x in _dealt(_place(one[here], h[here] & np.uint64(63)), nb):
+                x = here[x]
+                who, size = runs(doc[x])
+                out.add(_WORDS, k, keys[who], train[who], size.astype(np.uint32), *_short(two[x]), *_short(one[x]), number[x].astype(np.uint16), (number[x] >> 16).astype(np.uint16))
+            yield out.batch()
+
+    return run
+
+
+def _within(shared, nb: int):
+    """The factors within the class, by bigram and trigram."""
+
+    def run(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
+        m: Model = shared.value
+        out, parts = Out(), []
+        if _WORDS in got:
+            keys, train, size, *context, low, high = join(got.pop(_WORDS))
+            place = m.ordered[high.astype(np.int64) << 16 | low]
+            h = m.words[place]
+            parts.append((np.repeat(keys, size), np.repeat(train, size), _long(*context[:2]), _long(*context[2:]), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), m.counts[place]))
+        if _GRAMS in got:
+            keys, train, *context, w, count = join(got.pop(_GRAMS))
+            parts.append((keys, train, _long(*context[:2]), _long(*context[2:]), w, count.astype(np.int64)))
+        if parts:
+            keys, train, two, one, w, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            c = (w & 63).astype(np.int64)
+            p = (count + 1.0) / 10.0 ** m.within[c]
+            context = rank(_wide(one, c))
+            bigram = rank(_wide(context, w))
+            p = over(context, bigram, train, p, BIGRAM)
+            p = over(rank(_wide(context, two)), rank(_wide(bigram, two)), train, p, TRIGRAM)
+            _sums(out, _SUMS, nb, keys, np.log10(p), to=np.float32)
         return as_table([out.batch()])
 
     return run
@@ -280,18 +446,18 @@ def _rare(nb: int):
 
 def _finish(model_n: int, base_log: float):
     def run(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
-        ids, n, known, base, score = join(got[_DOCS]) if _DOCS in got else [np.zeros(0, np.int64)] * 5
-        if _RARE in got and len(ids):
-            who, logs, more = join(got[_RARE])
-            who, back = np.unique(who, return_inverse=True)
-            logs, more = np.bincount(back, logs), np.bincount(back, more).astype(np.int64)
-            # Rows that share a doc_id share its rare words' sums evenly.
-            share = np.unique(ids, return_counts=True)
-            times = share[1][np.searchsorted(share[0], ids)]
-            at = np.minimum(np.searchsorted(who, ids), len(who) - 1)
-            on = who[at] == ids
-            base, known = base + np.where(on, logs[at] / times, 0), known + np.where(on, more[at] // times, 0)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(ids), model_n), pa.int64()), "base_score": pa.array(base - n * base_log, pa.float64()), "score": pa.array(score + base, pa.float64())})
+        keys, ids, n, known, base = join(got[_DOCS]) if _DOCS in got else [np.zeros(0, np.int64)] * 5
+        score = np.zeros(len(ids))
+        if len(ids):
+            # Equal rows share a key, and with it the key's sums, evenly.
+            distinct, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+            share = lambda who, x: (np.bincount(np.searchsorted(distinct, who), x, len(distinct)) / times)[back]
+            if _BASE in got:
+                who, logs, more = join(got[_BASE])
+                base, known = base + share(who, logs), known + np.rint(share(who, more)).astype(np.int64)
+            who, logs = join(got[_SUMS])
+            score = share(who, logs)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(ids), model_n), pa.int64()), "base_score": pa.array(base - n * base_log, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
@@ -313,8 +479,13 @@ def score_documents(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT)
     ends = int(cells.where(F.col("a") % WIDE == CLASSES).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0])
     model = Model(top["a"].to_numpy().view(np.uint64), top["b"].to_numpy(), by_class, distinct, ends, fit(cells))
     shared = spark.sparkContext.broadcast(model)
-    parts = reduce_buckets(source.mapInArrow(_score(shared, nb), SCHEMA), _rare(nb), SCHEMA)
-    scored = reduce_buckets(parts, _finish(model.n, model.base), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = scratch.save(reduce_buckets(source.mapInArrow(_score(shared, nb), SCHEMA), _classes(shared, nb), SCHEMA), "classes")
+    # Spark holds the shuffles of a job until another has run.
+    spark.range(1).repartition(1).count()
+    scratch.release()
+    rare = parts.where(F.col("kind") == _GRAMS)
+    within = reduce_buckets(source.mapInArrow(_grams(shared, nb), SCHEMA).union(rare), _within(shared, nb), SCHEMA)
+    scored = reduce_buckets(parts.where(F.col("kind") != _GRAMS).union(within), _finish(model.n, model.base), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     return scored.withColumn("held_out", held)
 

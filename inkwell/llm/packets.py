@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "kind int, bucket int, payload binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-_TYPES = "<i8", "<u8", "<u4", "<f8", "<u2", "|u1", "<i4"
+_TYPES = "<i8", "<u8", "<u4", "<f8", "<u2", "|u1", "<i4", "<f4"
 
 
 def dump(*arrays: np.ndarray) -> bytes:

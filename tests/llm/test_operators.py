@@ -288,6 +288,35 @@ def test_language_model(spark, docs, rows, scratch):
     assert language_model.score_documents(docs.limit(0), scratch).count() == 0
 
 
+def test_language_model_sees_words(spark, scratch):
+    """Words of one ending differ by the words before: by the one before, by the two before, and by the one before last alone."""
+    ok = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
+    train, held = [k for k in range(3000) if ok(k)], [k for k in range(3000) if not ok(k)]
+    rng = random.Random(4)
+    a, b, other = [f"a{i}xx" for i in range(20)], [f"b{i}xx" for i in range(20)], [f"o{i}xx" for i in range(20)]
+    pairs = lambda n, shift: " ".join(f"{a[i]} {b[(i + shift) % 20]}" for i in (rng.randrange(20) for _ in range(n)))
+    endings = ["ka", "lo", "mi", "nu"]
+    skips = lambda shift: " ".join(f"s{i}yy {rng.choice(other)} t{rng.randrange(10**9)}{endings[(i + shift) % 4]}" for i in (rng.randrange(4) for _ in range(40)))
+    rows = [(k, pairs(40, 0)) for k in train[:300]] + [(k, skips(0)) for k in train[300:600]]
+    rows += [(held[0], " ".join(f"{a[i]} {b[i]}" for i in range(20))), (held[1], " ".join(f"{a[i]} {b[(i + 7) % 20]}" for i in range(20))), (held[2], skips(0)), (held[3], skips(1))]
+    for frequent in (language_model.FREQUENT, 10):
+        got = {r["doc_id"]: r for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), scratch, frequent).collect()}
+        good, bad = got[held[0]], got[held[1]]
+        assert math.isclose(good["base_score"], bad["base_score"]) and good["score"] > bad["score"] + 10
+        assert good["score"] > good["base_score"]
+        assert got[held[2]]["score"] > got[held[3]]["score"] + 10
+
+
+def test_language_model_sums_to_one():
+    rng = np.random.default_rng(3)
+    context, outcome, train = rng.integers(0, 9, 4000), rng.integers(0, 12, 4000), rng.random(4000) < 0.8
+    # Every outcome of every context once more, unseen in training, so that each has a probability.
+    context, outcome, train = np.append(context, np.repeat(np.arange(9), 12)), np.append(outcome, np.tile(np.arange(12), 9)), np.append(train, np.zeros(108, bool))
+    prior = rng.dirichlet(np.ones(12))
+    p = language_model.over(context, language_model.rank(context * 12 + outcome), train, prior[outcome], 2.0)[-108:]
+    assert np.allclose(p.reshape(9, 12).sum(axis=1), 1)
+
+
 def _labelled(spark, good, bad, n=160):
     rng = random.Random(6)
     rows = [(k, " ".join(rng.choice(bad if k % 4 == 0 and rng.random() < 0.3 else good) for _ in range(40)), k % 4 == 0) for k in range(n)]
