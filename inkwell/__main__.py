@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from inkwell.operators.hyphenation import built_in_patterns, read_patterns
+from inkwell.operators.hyphenation import read_patterns, us_english_patterns
 from inkwell.plans.site import Identity, site_files
 from inkwell.sources.markdown import posts, read_bundles
 from inkwell.sources.sink import STYLE, timer, write_site
@@ -27,7 +27,7 @@ def main() -> None:
     with timer("total"):
         with timer("Parser"):
             bundles = spark.createDataFrame([("-", sys.stdin.read())], "bundle string, value string") if a.path == "-" else read_bundles(spark, a.path)
-            patterns = read_patterns(spark, a.patterns) if a.patterns else built_in_patterns(spark)
+            patterns = read_patterns(spark, a.patterns) if a.patterns else us_english_patterns(spark)
             found = posts(bundles, patterns, compat=not a.documented).persist()
             n = found.count()
         with timer("Render"):

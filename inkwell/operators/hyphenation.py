@@ -1,13 +1,14 @@
 """Hyphenation by patterns, as a relational plan and as an Arrow function.
 
 A pattern is letters with digits between them; a word's gaps get the largest digit of all patterns that occur in it, and an
-odd digit allows a hyphen. Patterns are data: ``read_patterns`` takes any file of them, one a line, such as the public
-TeX corpus for US English; a few of these are built in for use without a file.
+odd digit allows a hyphen. Patterns are data: ``read_patterns`` takes any file of them, one a line; the public TeX corpus
+for US English is built in, whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.resources import files
 
 import pandas as pd
 import regex
@@ -17,7 +18,10 @@ from pyspark.sql import types as T
 
 from inkwell.functions.text import SOFT_HYPHEN, escape_html, space
 
-# Patterns of the public TeX corpus.
+# Lines of the public TeX patterns for US English, all of them; the file has their copyright notice.
+US_ENGLISH = [line for line in (files("inkwell.resources") / "hyph-en-us.pat").read_text("ascii").split("\n") if line and line[0] != "%"]
+
+# A few of these, for small examples; queries and builds have the whole table.
 BUILT_IN = """
 .ta4 a2n b2l2 b4le. 2ce. 1co 2cog c3ume 1do e1s2e g1ni 1go he2n hena4 hen5at 4h1m
 hy3ph 2io 2ith 4l1g4 lgo3 1men 3ment 1na n2at n1t nt4s 3ogniz o2n pr2 p3rese 1ta
@@ -47,6 +51,11 @@ def built_in_patterns(spark: SparkSession) -> DataFrame:
     return parse_patterns(spark.createDataFrame([(p,) for p in BUILT_IN], "line string"))
 
 
+def us_english_patterns(spark: SparkSession) -> DataFrame:
+    """The whole table."""
+    return parse_patterns(spark.createDataFrame([(p,) for p in US_ENGLISH], "line string"))
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     return parse_patterns(spark.read.text(path).withColumnRenamed("value", "line"))
 
@@ -147,7 +156,7 @@ def register(spark: SparkSession, patterns: DataFrame | None = None) -> None:
     """The functions under their names for SQL."""
     from inkwell.functions.text import CHINESE_CLASS, ESCAPES, THIN_SPACE
 
-    one = hyphenator(patterns if patterns is not None else built_in_patterns(spark))
+    one = hyphenator(patterns if patterns is not None else us_english_patterns(spark))
     spark.udf.register("hyphenate", one)
     spaced = f"regexp_replace(regexp_replace(t, r'([{CHINESE_CLASS}])([A-Za-z0-9])', '$1{THIN_SPACE}$2'), r'([A-Za-z0-9])([{CHINESE_CLASS}])', '$1{THIN_SPACE}$2')"
     escaped = "t"

@@ -61,7 +61,7 @@ def _escaped(x: str) -> str:
     return x
 
 
-_PATTERNS = "pats as (select regexp_replace(line, '[0-9]', '', 'g') as letters, list_concat([coalesce(try_cast(regexp_extract(line, '^([0-9])', 1) as int), 0)], list_transform(regexp_extract_all(line, '[.a-z][0-9]?'), lambda p: coalesce(try_cast(nullif(substring(p, 2, 1), '') as int), 0))) as points from (values " + ", ".join(f"('{p}')" for p in h.BUILT_IN) + ") v(line))"
+_PATTERNS = "pats as (select regexp_replace(line, '[0-9]', '', 'g') as letters, list_concat([coalesce(try_cast(regexp_extract(line, '^([0-9])', 1) as int), 0)], list_transform(regexp_extract_all(line, '[.a-z][0-9]?'), lambda p: coalesce(try_cast(nullif(substring(p, 2, 1), '') as int), 0))) as points from (values " + ", ".join(f"('{p}')" for p in h.US_ENGLISH) + ") v(line))"
 _WORDS = f"{_D}, words as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from docs)"
 _POINTS = f"""{_PATTERNS}, cuts as (select word, s, unnest(generate_series(2, 10)) as n, '.' || lower(word) || '.' as w from (select word, unnest(generate_series(1, length(word) + 1)) as s from words where length(word) >= 5)),
  hits as (select word, s, points, unnest(generate_series(1, len(points))) as j from cuts join pats on s + n - 1 <= length(w) and substring(w, s, n) = letters),
@@ -104,22 +104,22 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_PATTERNS} select letters, array_to_string(points, ',') as points from pats")
 def pattern_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.built_in_patterns(spark).select("letters", F.array_join(F.transform("points", lambda p: p.cast("string")), ",").alias("points"))
+    return h.us_english_patterns(spark).select("letters", F.array_join(F.transform("points", lambda p: p.cast("string")), ",").alias("points"))
 
 
 @query(f"with {_WORDS}, {_POINTS} select word, gap, p from points_of")
 def hyphen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.hyphen_points(h.words_of(_docs(spark, sf_dir)).where(F.length("word") >= h.SHORTEST), h.built_in_patterns(spark))
+    return h.hyphen_points(h.words_of(_docs(spark, sf_dir)).where(F.length("word") >= h.SHORTEST), h.us_english_patterns(spark))
 
 
 @query(f"with {_WORDS}, {_HYPHENATED} select word, hyphenated from hyphenated")
 def hyphenate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.hyphenate_words(h.words_of(_docs(spark, sf_dir)), h.built_in_patterns(spark))
+    return h.hyphenate_words(h.words_of(_docs(spark, sf_dir)), h.us_english_patterns(spark))
 
 
 @query(f"with {_WORDS}, {_HYPHENATED}, raw as (select doc_id, {_spaced('text')} as s from docs), parts as (select doc_id, unnest(regexp_extract_all(s, '[A-Za-z]+|[^A-Za-z]+')) as token, generate_subscripts(regexp_extract_all(s, '[A-Za-z]+|[^A-Za-z]+'), 1) as k from raw), joined as (select doc_id, string_agg(coalesce(hyphenated, token), '' order by k) as s from parts left join hyphenated on word = token group by doc_id) select d.doc_id, md5(coalesce({_escaped('s')}, '')) as linted_md5, cast(length(coalesce({_escaped('s')}, '')) as bigint) as n from docs d left join joined j on j.doc_id = d.doc_id")
 def lint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lint = h.linter(h.built_in_patterns(spark))
+    lint = h.linter(h.us_english_patterns(spark))
     done = _docs(spark, sf_dir).select("doc_id", lint(F.col("text")).alias("s"))
     return done.select("doc_id", F.md5(F.col("s").cast("binary")).alias("linted_md5"), F.length("s").cast("long").alias("n"))
 
@@ -285,17 +285,17 @@ _NODES = f"{_PATTERNS}, nodes as (select distinct left(letters, n) as prefix fro
 
 @query(f"with {_NODES} select prefix from nodes")
 def trie_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.prefixes(h.built_in_patterns(spark))
+    return h.prefixes(h.us_english_patterns(spark))
 
 
 @query(f"with {_NODES}, s as (select prefix, substring(prefix, k) as fail from (select prefix, unnest(generate_series(2, length(prefix) + 1)) as k from nodes where prefix <> '')) select s.prefix, arg_max(s.fail, length(s.fail)) as fail from s join nodes n on n.prefix = s.fail group by s.prefix")
 def failure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.failure_links(h.built_in_patterns(spark))
+    return h.failure_links(h.us_english_patterns(spark))
 
 
 @query(f"with {_NODES}, s as (select prefix, substring(prefix, k) as letters from (select prefix, unnest(generate_series(1, length(prefix))) as k from nodes where prefix <> '')), x as (select prefix, length(s.letters) as n, points, unnest(generate_series(1, len(points))) as j from s join pats on pats.letters = s.letters) select prefix, cast(n - (j - 1) as int) as from_end, max(points[j]) as p from x where points[j] > 0 group by all")
 def merged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.merged_outputs(h.built_in_patterns(spark))
+    return h.merged_outputs(h.us_english_patterns(spark))
 
 
 @query(f"with {_PATTERNS} select distinct array_to_string(points, ',') as points from pats")
@@ -329,7 +329,7 @@ def words_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select cast(0 as bigint) as different")
 def impl_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the relational hyphenator and the function on Arrow batches break differently: none."""
-    words, patterns = h.words_of(_docs(spark, sf_dir)), h.built_in_patterns(spark)
+    words, patterns = h.words_of(_docs(spark, sf_dir)), h.us_english_patterns(spark)
     both = h.hyphenate_words(words, patterns).withColumn("other", h.hyphenator(patterns)(F.col("word")))
     return both.where("hyphenated <> other").agg(F.count("*").alias("different"))
 
@@ -350,7 +350,7 @@ def markdown_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.sources.markdown import posts
 
     value = F.concat(F.lit("# 标题One\n\n    本文发表于：2018-01-01T12:45:00+08:00\n    分类：tech\n    页名：a\n\n"), "text", F.lit("\n\n# Two\n\n    页名：b\n\n- *"), F.col("doc_id").cast("string"), F.lit("*\n"))
-    return posts(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("bundle"), value.alias("value")), h.built_in_patterns(spark))
+    return posts(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("bundle"), value.alias("value")), h.us_english_patterns(spark))
 
 
 @query(None)

@@ -50,6 +50,32 @@ def test_points(spark):
     assert [g for g, p in sorted(got["typesetting"].items()) if p % 2 and 2 <= g <= 8] == [4, 7]
 
 
+def test_whole_pattern_table(spark):
+    assert len(h.US_ENGLISH) == len(set(h.US_ENGLISH)) == 4938 == h.us_english_patterns(spark).count()
+    patterns = {r["letters"]: r["points"] for r in h.us_english_patterns(spark).collect()}
+    one = h.Hyphenator(patterns)
+    got = {w: one(w).replace(SHY, "-") for w in ("computer", "university", "hyphenation", "supercalifragilisticexpialidocious")}
+    assert got == {"computer": "com-puter", "university": "uni-ver-sity", "hyphenation": "hy-phen-ation", "supercalifragilisticexpialidocious": "su-per-cal-ifrag-ilis-tic-ex-pi-ali-do-cious"}
+
+
+def test_whole_table_by_brute_force(spark):
+    """The relational plan against every pattern looked for at every place of every word."""
+    words = ["computer", "university", "inhibiting", "Documents", "zzz", "extraordinarily", "recognizance", "present"]
+    expected, patterns = {}, {re.sub("[0-9]", "", p): [int(x or 0) for x in re.split("[.a-z]", p)] for p in h.US_ENGLISH}
+    for word in words:
+        w, points = f".{word.lower()}.", {}
+        for letters, digits in patterns.items():
+            for s in range(len(w) - len(letters) + 1):
+                if w[s : s + len(letters)] == letters:
+                    for j, p in enumerate(digits):
+                        points[s + j - 1] = max(points.get(s + j - 1, 0), p)
+        expected[word] = {g: p for g, p in points.items() if p}
+    got = {w: {} for w in words}
+    for r in h.hyphen_points(spark.createDataFrame([(w,) for w in words], "word string"), h.us_english_patterns(spark)).collect():
+        got[r["word"]][r["gap"]] = r["p"]
+    assert got == expected
+
+
 def test_size_label(spark):
     n = {0: "0.00", 128: "0.12", 384: "0.38", 640: "0.62", 1000: "0.98", 1024: "1.00"}
     got = spark.createDataFrame([(k,) for k in n], "n int").select("n", t.size_label(F.col("n")).alias("s")).collect()
