@@ -17,8 +17,8 @@ from inkwell.llm.jaccard import group_documents
 from inkwell.llm.quality import score_quality
 from inkwell.llm.substrings import remove_repeats
 
-#: A document of a lower score is rejected.
-QUALITY = 0.3
+#: A document of a lower score is rejected, as op3_quality predicts low quality there.
+QUALITY = 0.7
 
 
 def _only(docs: DataFrame, decisions: DataFrame, keep) -> DataFrame:

@@ -366,6 +366,31 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
 
 
+def _raw(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _quality_rows(spark, path):
+    """Good, bad and mixed texts, with labels of both classes for the first two."""
+    rng = random.Random(5)
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    good, bad = ["lorem", "ipsum", "dolor", "amet"], ["BUY!!", "NOW!!", "$$$"]
+    rows = [(k, some(bad if k % 4 == 0 else good, 40)) for k in range(160)] + [(1000 + k, f"{some(bad, k)} {some(good, 60 - k)}") for k in range(1, 60)]
+    spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return rows
+
+
+def test_quality_stage_rejects_what_op3_predicts_low(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = _raw(spark, _quality_rows(spark, tmp_path))
+    score = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert any(0.3 <= s < 0.7 for s in score.values())
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == {k for k, s in score.items() if s >= 0.7}
+    assert {k for k in range(160) if k % 4} <= kept and not {k for k in range(160) if k % 4 == 0} & kept
+
+
 def test_word_encoder_equals_library_on_hard_words():
     from inkwell.llm.tokenizers_ import WordEncoder
 
