@@ -7,7 +7,7 @@ columns of documents. Rows without doc_id can't be compared with others and leav
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import round_trip
@@ -21,19 +21,21 @@ from inkwell.llm.substrings import remove_repeats
 QUALITY = 0.7
 
 
-def _only(docs: DataFrame, decisions: DataFrame, keep) -> DataFrame:
-    """The rows of docs whose doc_id has a decision that keeps it."""
-    kept = decisions.where(keep).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("__kept_id"), "left_semi")
+def _by_row(docs: DataFrame) -> DataFrame:
+    """(row, text): whole rows as a key, so that a decision about a text goes with its own row, whatever its doc_id."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, score_quality(docs, table(spark, sf_dir, "labels")), F.col("score") >= QUALITY)
+    return score_quality(docs, table(spark, sf_dir, "labels"), rows=_by_row(docs)).where(F.col("score") >= QUALITY).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays."""
-    return _only(docs, group_documents(docs, Scratch(spark, "near")), F.col("doc_id") == F.col("component_id"))
+    """Of each group the document with the smallest doc_id stays, in one row: of several, the one whose text comes first."""
+    kept = group_documents(docs, Scratch(spark, "near")).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(*("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, find_hits(docs, table(spark, sf_dir, "benchmark")), F.col("n_hit") == 0)
+    return find_hits(_by_row(docs), table(spark, sf_dir, "benchmark"), "row").where("n_hit = 0").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,11 +89,15 @@ def _scorer(weights: bytes, bias: float) -> Scorer:
     return Scorer(np.frombuffer(weights, np.float32).astype(np.float64), bias)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_train: int = MAX_TRAIN, **how) -> DataFrame:
-    """(key, score) for each row: the probability of quality 1. Fits on at most max_train labelled documents, on the driver."""
+def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_train: int = MAX_TRAIN, rows: DataFrame | None = None, **how) -> DataFrame:
+    """(key, score) for each row: the probability of quality 1. Fits on at most max_train labelled documents, on the driver.
+
+    With rows (row, text) it scores these instead, as (row, score).
+    """
     weights, bias = fit(*gather(labelled_sample(docs, labels, "quality", max_train, key), lambda x: features([x])[0]), **how)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32).tobytes())
-    return score_rows(docs, lambda data: _scorer(shared.value, bias)(data), key)
+    scored, by = (docs, key) if rows is None else (rows, "row")
+    return score_rows(scored, lambda data: _scorer(shared.value, bias)(data), by)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,6 +391,26 @@ def test_quality_stage_rejects_what_op3_predicts_low(spark, tmp_path):
     assert {k for k in range(160) if k % 4} <= kept and not {k for k in range(160) if k % 4 == 0} & kept
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = _quality_rows(spark, tmp_path)[:160]
+    good, bad = rows[1][1], rows[0][1]
+    leak = " ".join(f"leak{i}" for i in range(15))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows += [(500, good), (500, bad), (None, good), (None, bad), (None, None)]
+    got = corpus_pipeline.quality(spark, _raw(spark, [r for r in rows if r[1]]).union(_raw(spark, [(None, "")])), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    found = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert found[500, good] == found[None, good] == 1 and not found[500, bad] and not found[None, bad]
+    words = lambda seed: " ".join(f"w{random.Random(seed + i).randrange(10**6)}" for i in range(40))
+    docs = _raw(spark, [(1, words(1)), (1, words(1)), (1, words(1)), (2, words(1)), (3, words(900)), (4, words(5000)), (4, words(7000)), (None, words(1))])
+    near = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert near == [(1, words(1)), (3, words(900)), (4, min(words(5000), words(7000)))]
+    docs = _raw(spark, [(7, f"a b {leak}"), (7, "c d"), (8, "e"), (None, "f"), (None, leak)])
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()} == {(7, "c d"), (8, "e"), (None, "f")}
+
+
 def test_word_encoder_equals_library_on_hard_words():
     from inkwell.llm.tokenizers_ import WordEncoder
 
