@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +18,31 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may go without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another libc
+        return None
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers stay when their task is over, and so would what they held."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 class Scratch:
     """Tables written under the shared folder; they cut lineage, survive lost executors and can be dropped early."""
 
@@ -77,27 +94,55 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             if size >= limit or i == len(data) - 1:
                 yield batch.slice(start, i + 1 - start), data[start : i + 1]
                 start, size = i + 1, 0
+    tidy()
 
 
-class WordHash(dict):
-    """Word -> its 64-bit hash, remembered; emptied when it grows beyond its bound."""
+def chunk_bytes(buckets: int) -> int:
+    """Text for one round of packets: more where there are many buckets, so that packets don't become tiny; bounded."""
+    return min(8 * CHUNK_BYTES, max(CHUNK_BYTES, 2000 * buckets))
 
-    MOST = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: where they lie in one array of bytes, and each text's bounds among them."""
+
+    def __init__(self, data: list[bytes]) -> None:
+        self.raw = np.frombuffer(b"\n".join([b"", *data, b" " * 9]), np.uint8)
+        white = WHITE[self.raw]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        self.start, self.end = edge[::2], edge[1::2]
+        self.at = np.searchsorted(self.start, np.cumsum([0, *(len(x) + 1 for x in data)]))
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of every word, eight bytes at a time; words of up to eight bytes and equal length never collide."""
+        wide = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
+        n = self.end - self.start
+        h = mix((wide[self.start] & _FIRST[np.minimum(n, 8)]) + n.astype(np.uint64) * _ODD)
+        on, k = np.flatnonzero(n > 8), 8
+        while len(on):
+            h[on] = mix(h[on] * _ODD + (wide[self.start[on] + k] & _FIRST[np.minimum(n[on] - k, 8)]))
+            k += 8
+            on = on[n[on] > k]
         return h
 
-    def flat(self, docs: list[list[bytes]]) -> np.ndarray:
-        if len(self) > self.MOST:
-            self.clear()
-        n = sum(map(len, docs))
-        return np.fromiter((self[w] for d in docs for w in d), np.uint64, n)
+    def text(self, k: int, keep: np.ndarray | None = None) -> bytes:
+        """The k-th text's words, or those that keep marks, joined by one space."""
+        s, e = self.start[self.at[k] : self.at[k + 1]], self.end[self.at[k] : self.at[k + 1]]
+        if keep is not None:
+            s, e = s[keep], e[keep]
+        raw = self.raw.data
+        return b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
 
 
-@lru_cache(maxsize=1)
-def word_hash() -> WordHash:
-    return WordHash()
+def hashed_words(data: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, each text's bounds among them); lower: A-Z lower-cased."""
+    words = Words([x.lower() for x in data] if lower else data)
+    return words.hashes(), words.at
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,8 +165,10 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 def split_by(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(k, positions with key k, in order) for the keys that occur."""
+    if n <= 1 << 16:
+        key = key.astype(np.uint8 if n <= 256 else np.uint16)  # numpy sorts short numbers by radix
     order = np.argsort(key, kind="stable")
-    ends = np.searchsorted(key[order], np.arange(n + 1))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))])
     for k in range(n):
         if ends[k] < ends[k + 1]:
             yield k, order[ends[k] : ends[k + 1]]

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from inkwell.llm.common import tidy
+
 SCHEMA = "kind int, bucket int, payload binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 _TYPES = "<i8", "<u8", "<u4", "<f8", "<u2", "|u1", "<i4", "<f4"
@@ -69,7 +71,10 @@ def reduce_buckets(packets: DataFrame, f: Callable[[int, dict[int, list[bytes]]]
     """f(bucket, payloads by kind) for every bucket; one shuffle."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        return f(key[0].as_py(), by_kind(table))
+        try:
+            return f(key[0].as_py(), by_kind(table))
+        finally:
+            tidy()
 
     return packets.groupBy("bucket").applyInArrow(run, schema)
 

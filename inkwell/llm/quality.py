@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.classify import gather, labelled_sample, score_rows, sigmoid
-from inkwell.llm.common import mix, remainder, table, word_hash
+from inkwell.llm.common import WHITE, Words, mix, remainder, table
 
 #: Documents that the model is fitted on, at most.
 MAX_TRAIN = 3000
@@ -31,18 +31,18 @@ _SAME = np.uint64(0x9E3779B97F4A7C15)
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The features of all texts, and the text of each."""
-    docs = [t.split() for t in texts]
-    h = word_hash().flat(docs)
-    doc = np.repeat(np.arange(len(docs)), np.fromiter(map(len, docs), np.int64, len(docs)))
-    same = h[:-1] == h[1:]
-    pair = (np.where(same, _SAME, mix(h[:-1] * np.uint64(31) + h[1:])) % np.uint64(BUCKETS))[doc[:-1] == doc[1:]]
-    lines = [b" " + b" ".join(d) + b" " for d in docs]
-    c = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint32)
-    at = np.flatnonzero(c[1:-1] != 32)
-    code = c[at] | c[at + 1] << np.uint32(8) | c[at + 2] << np.uint32(16)
+    words = Words(texts)
+    h = words.hashes()
+    doc = np.repeat(np.arange(len(texts)), np.diff(words.at))
+    same, within = h[:-1] == h[1:], doc[:-1] == doc[1:]
+    pair = (np.where(same, _SAME, mix(h[:-1] * np.uint64(31) + h[1:])) % np.uint64(BUCKETS))[within]
+    # White space of any kind and length is one space at a word's edge.
+    c = np.where(WHITE[words.raw], 32, words.raw).astype(np.uint32)
+    at = np.flatnonzero(c != 32)
+    code = c[at - 1] | c[at] << np.uint32(8) | c[at + 1] << np.uint32(16)
     gram = (code * np.uint32(2654435761)) >> np.uint32(16)
-    line = np.repeat(np.arange(len(docs)), np.fromiter(map(len, lines), np.int64, len(docs)))[at + 1]
-    return np.concatenate([(h % np.uint64(BUCKETS)).astype(np.int64), pair.astype(np.int64), gram.astype(np.int64)]), np.concatenate([doc, doc[:-1][doc[:-1] == doc[1:]], line])
+    line = np.repeat(doc, words.end - words.start)
+    return np.concatenate([(h % np.uint64(BUCKETS)).astype(np.int64), pair.astype(np.int64), gram.astype(np.int64)]), np.concatenate([doc, doc[:-1][within], line])
 
 
 def fit(y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
