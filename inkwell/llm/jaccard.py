@@ -6,7 +6,8 @@
    them can't be linked. The rest are ordered from the rarest shingle on; a linked pair shares one of the first
    ``n - ceil(0.75 n) + 1``.
 3. Documents that share such a shingle, directly or by others, form candidate groups, which are found
-   without listing pairs. Each group is joined by a prefix tree (``tree_links``). A group beyond ``MOST_TOKENS`` is cut
+   without listing pairs. Each group is joined by a prefix tree (``tree_links``), entered only where a set shares one of
+   the probe's rarest shingles, is of a fitting size and not yet of its component. A group beyond ``MOST_TOKENS`` is cut
    into parts that are joined each with a few common pivots; after that only documents outside the group's main
    component still have to meet the other parts, and do.
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Scratch, bucket_of, chunks, connected, mix, offsets, partitions, split_by, table, texts, word_hash
+from inkwell.llm.common import Scratch, bucket_of, chunk_bytes, chunks, connected, hashed_words, mix, offsets, partitions, split_by, table, texts
 from inkwell.llm.packets import SCHEMA, Out, as_table, join, reduce_buckets, runs
 
 SHINGLE = 5
@@ -33,6 +34,8 @@ NUMER, DENOM = 75, 100
 #: Tokens of the sets that one task joins at a time; a larger group is cut.
 MOST_TOKENS = 300_000
 PIVOTS = 32
+#: Sets whose groups (16 bytes each, about 80 in Spark's broadcast) are broadcast at most.
+MOST_BROADCAST = 250_000
 BUCKETS_PER_PARTITION = 2
 _LOW = np.uint64((1 << 48) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -40,21 +43,30 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 _DOCS, _SIGNS, _POSTINGS, _SAME = range(4)
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def shingles(h: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of each document's distinct shingles, by document; h: word hashes, at: the documents' bounds."""
+    """(document, 48-bit hash) of each document's distinct shingles, by document; h: word hashes, at: the documents' bounds."""
     n = np.diff(at)
     count = np.where(n >= size, n - size + 1, 0)
     doc = np.repeat(np.arange(len(n)), count)
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1], count)
+    start = _spans(at[:-1], count)
     s = np.zeros(len(doc), np.uint64)
     for k in range(size):
-        s += mix(h[start + k] + _ODD[k]) * _ODD[(k + 1) % 5]
+        s += (mix(h + _ODD[k]) * _ODD[(k + 1) % 5])[start + k]
     short = np.flatnonzero((n > 0) & (n < size))
     whole = np.zeros(len(short), np.uint64)
     for i, d in enumerate(short):
         x = h[at[d] : at[d + 1]]
         whole[i] = (mix(x + _ODD[: len(x)]) * _ODD[1 : len(x) + 1]).sum(dtype=np.uint64) + np.uint64(len(x))
-    doc, s = np.concatenate([doc, short]), mix(np.concatenate([s, whole]))
+    doc, s = np.concatenate([doc, short]), mix(np.concatenate([s, whole])) >> np.uint64(16)
+    if len(n) <= 1 << 16:  # document and hash as one number, which is fast to sort
+        both = np.sort(doc.astype(np.uint64) << np.uint64(48) | s)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        return (both >> np.uint64(48)).astype(np.int64), both & _LOW
     order = np.lexsort((s, doc))
     doc, s = doc[order], s[order]
     fresh = np.ones(len(doc), bool)
@@ -71,19 +83,23 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-NUMER * n // DENOM) + 1
 
 
-class Union:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+class Components:
+    """Components of numbered elements as one array of labels; the smaller one takes the other's label."""
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.members = [[i] for i in range(n)]
 
     def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+        a, b = int(self.label[i]), int(self.label[j])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
 
 
 class PrefixTree:
@@ -91,7 +107,8 @@ class PrefixTree:
 
     Nodes are numbered by level; a node holds a run of tokens. ``overlaps`` goes down all live branches of a level at
     once: a branch's overlap so far is shared by all sets below it, and the branch ends where what remains of the
-    probe or of the branch can't reach the overlap that the smallest set below would need.
+    probe or of the branch can't reach the overlap that the smallest set below would need. Only branches that lead to a
+    set with one of the probe's rarest tokens are entered, and no other node is touched.
     """
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray) -> None:
@@ -136,32 +153,33 @@ class PrefixTree:
         self.at = np.concatenate([[0], np.cumsum([x[2] - x[1] for x in flat])])
         self.tokens = np.concatenate([rows[x[0]][x[1] : x[2]] for x in flat]).astype(np.int64) if self.at[-1] else np.zeros(0, np.int64)
         self.last = np.array([int(rows[x[0]][x[2] - 1]) if x[2] else -1 for x in flat], np.int64)
-        self.end_row = np.array([x[5] for x in flat], np.int64)
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         self.below = np.array([int(lengths[x[4] : x[5]].max()) - x[2] for x in flat], np.int64)
         self.least = np.array([int(self.sizes[x[4] : x[5]].min()) for x in flat], np.int64)
         self.node = np.array([number[k] for k in ends], np.int64)
-
-    def overlaps(self, probe: np.ndarray, size: int, member: np.ndarray, after: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows behind ``after`` (in tree order) that may be linked, and their overlaps. member: the probe as a mask."""
-        overlap = np.zeros(len(self.parent), np.int64)
-        live = np.zeros(len(self.parent), bool)
-        live[0] = True
-        for a, b in zip(self.levels[1:-1], self.levels[2:], strict=True):
-            up = self.parent[a:b]
-            on = live[up] & (self.end_row[a:b] > after)
-            if not on.any():
+        self.overlap, self.live = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+        self.visited = 0
+
+    def overlaps(self, probe: np.ndarray, size: int, member: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Those of the rows (in tree order) that are linked with the probe. member: the probe as a mask of tokens."""
+        on = now = np.unique(self.node[rows])
+        while len(now):
+            now = np.unique(self.parent[now[now > 0]])
+            on = np.union1d(on, now)
+        self.overlap[on], self.live[on], self.live[0] = 0, False, True
+        for nodes in np.split(on, np.searchsorted(on, self.levels[1:-1]))[1:]:
+            nodes = nodes[self.live[self.parent[nodes]]]
+            if not len(nodes):
                 break
-            s, e = self.at[a], self.at[b]
-            total = np.concatenate([[0], np.cumsum(member[self.tokens[s:e]])])
-            overlap[a:b] = overlap[up] + total[self.at[a + 1 : b + 1] - s] - total[self.at[a:b] - s]
-            rest = len(probe) - np.searchsorted(probe, self.last[a:b], side="right")
-            live[a:b] = on & (overlap[a:b] + np.minimum(rest, self.below[a:b]) >= required(size, self.least[a:b]))
-        rows = np.arange(after, len(self.node))
-        rows = rows[live[self.node[rows]]]
-        got = overlap[self.node[rows]]
-        good = got >= required(size, self.sizes[rows])
-        return rows[good], got[good]
+            n = self.at[nodes + 1] - self.at[nodes]
+            total = np.concatenate([[0], np.cumsum(member[self.tokens[_spans(self.at[nodes], n)]])])
+            ends = np.cumsum(n)
+            self.visited += len(nodes)
+            self.overlap[nodes] = self.overlap[self.parent[nodes]] + total[ends] - total[ends - n]
+            rest = len(probe) - np.searchsorted(probe, self.last[nodes], side="right")
+            self.live[nodes] = self.overlap[nodes] + np.minimum(rest, self.below[nodes]) >= required(size, self.least[nodes])
+        node = self.node[rows]
+        return rows[self.live[node] & (self.overlap[node] >= required(size, self.sizes[rows]))]
 
 
 def _ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -184,23 +202,40 @@ def tree_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], probe
     """Links among the sets that connect what they connect: pairs already joined by others are not listed.
 
     sizes: the whole sets' sizes (sets may lack elements that no other set has). probe: a mask of the sets that look for
-    partners, all by default. known: components found before; equal ones are one from the start.
+    partners, all by default. known: components found before; equal ones are one from the start. A set's partners share one of its rarest
+    tokens (as many as a linked set could lack, and one), are of a fitting size, and not yet in its component.
     """
     ranks, width = _ordered(sets)
     tree = PrefixTree(ranks, sizes)
     place = np.empty(len(ids), np.int64)
     place[tree.order] = np.arange(len(ids))
-    union, out = Union(len(ids)), []
+    groups, out = Components(len(ids)), []
     if known is not None:
         _, first, same = np.unique(known, return_index=True, return_inverse=True)
         for i, f in enumerate(first[same]):
-            union.join(i, int(f))
+            groups.join(i, int(f))
+    # Higher ranks are rarer; tokens of one set only are left out, and come before all others.
+    lengths = np.fromiter(map(len, ranks), np.int64, len(ranks))
+    rarest = [r[max(0, len(r) - max(0, k)) :] if k > 0 else r[:0] for r, k in zip(ranks, (prefix_length(sizes) - (sizes - lengths)).tolist(), strict=True)]
+    token = np.concatenate(rarest)
+    row = np.repeat(place, np.fromiter(map(len, rarest), np.int64, len(rarest)))
+    order = np.argsort(token * len(ids) + row)
+    row, at = row[order], np.searchsorted(token[order], np.arange(width + 1))
     member = np.zeros(width, bool)
     for i in tree.order if probe is None else np.flatnonzero(probe):
+        i, size = int(i), int(sizes[i])
+        begin = at[rarest[i]]
+        rows = np.unique(row[_spans(begin, at[rarest[i] + 1] - begin)])
+        if probe is None:
+            rows = rows[np.searchsorted(rows, place[i], side="right") :]
+        n = tree.sizes[rows]
+        rows = rows[(DENOM * np.minimum(n, size) >= NUMER * np.maximum(n, size)) & (groups.label[tree.order[rows]] != groups.label[i])]
+        if not len(rows):
+            continue
         member[ranks[i]] = True
-        for r in tree.overlaps(ranks[i], int(sizes[i]), member, int(place[i]) + 1 if probe is None else 0)[0]:
+        for r in tree.overlaps(ranks[i], size, member, rows):
             j = int(tree.order[r])
-            if j != i and union.join(int(i), j):
+            if groups.join(i, j):
                 out.append((int(ids[i]), int(ids[j])))
         member[ranks[i]] = False
     return out
@@ -227,20 +262,19 @@ def _map(nb: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], int] = {}
-        for k, (batch, data) in enumerate(chunks(batches)):
+        for k, (batch, data) in enumerate(chunks(batches, limit=chunk_bytes(nb))):
             out = Out()
             chunk = np.array([TaskContext.get().partitionId() << 32 | k], np.int64)
             home = int(_block(chunk, nb)[0])
             ids = batch.column("doc_id").to_numpy()
-            docs = [x.lower().split() for x in data]
-            at = offsets(docs)
-            doc, s = shingles(word_hash().flat(docs), at)
-            n = np.bincount(doc, minlength=len(docs))
+            h, at = hashed_words(data, lower=True)
+            doc, s = shingles(h, at)
+            n = np.bincount(doc, minlength=len(data))
             ends = np.concatenate([[0], np.cumsum(n)])
             one = np.concatenate([[0], np.cumsum(mix(s ^ _ODD[0]), dtype=np.uint64)]).astype(np.uint64)
             two = np.concatenate([[0], np.cumsum(mix(s ^ _ODD[1]), dtype=np.uint64)]).astype(np.uint64)
             one, two = one[ends[1:]] - one[ends[:-1]], two[ends[1:]] - two[ends[:-1]]
-            rep, fresh = ids.copy(), np.zeros(len(docs), bool)
+            rep, fresh = ids.copy(), np.zeros(len(data), bool)
             for i, key in enumerate(zip(one.tolist(), two.tolist(), n.tolist(), strict=True)):
                 if key[2]:
                     rep[i] = seen.setdefault(key, int(ids[i]))
@@ -251,7 +285,7 @@ def _map(nb: int):
                 out.add(_SIGNS, b, ids[use[x]], one[use[x]], two[use[x]], np.repeat(chunk, len(x)))
             on = fresh[doc]
             doc, s = doc[on], s[on]
-            for b, x in split_by(bucket_of(s, nb), nb):
+            for b, x in split_by(bucket_of(s << np.uint64(16), nb), nb):
                 who, count = runs(doc[x])
                 out.add(_POSTINGS, b, chunk, np.array([len(who)], np.uint32), who.astype(np.uint32), count.astype(np.uint32), _five(s[x]))
             yield out.batch()
@@ -281,7 +315,7 @@ def _count(nb: int):
             chunk, size, who, count, low = join(got[_POSTINGS])
             chunk = np.repeat(np.repeat(chunk, size), count)
             who, s = np.repeat(who, count), _from_five(low)
-            order = np.argsort(s, kind="stable")
+            order = np.argsort(s)
             _, times = runs(s[order])
             df = np.empty(len(s), np.uint16)
             df[order] = np.repeat(np.minimum(times, 65535), times)
@@ -393,7 +427,7 @@ def _join_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pack").applyInArrow(lambda t: _links(t), "a long, b long")
 
 
-def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_TOKENS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs that has a doc_id."""
     spark = docs.sparkSession
     nb = min(1 << 16, BUCKETS_PER_PARTITION * partitions(spark))
@@ -407,7 +441,9 @@ def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_T
 
     near = reduce_buckets(sets.select("doc_id", "prefix", "tokens").mapInArrow(_prefixes(nb), SCHEMA), _near, "a long, b long")
     group = connected(scratch, near, "groups").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
-    sets = scratch.save(sets.join(group, "doc_id").withColumn("weight", F.octet_length("tokens") / 6), "sets")
+    # Two numbers a set; beyond the bound the sets are shuffled instead.
+    group = F.broadcast(group) if group.count() <= most_broadcast else group.hint("merge")
+    sets = sets.join(group, "doc_id").withColumn("weight", F.octet_length("tokens") / 6)
     parts = sets.groupBy("group").agg(F.ceil(F.sum("weight") / most_tokens).cast("int").alias("parts"), F.count("*").alias("members"))
     large = scratch.save(parts.where("parts > 1"), "large")
     any_large = not large.isEmpty()
@@ -422,21 +458,24 @@ def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_T
         task = F.xxhash64("group", "part")
         first_links = scratch.save(_join_groups(with_pivots.select(task.alias("pack"), task.alias("task"), "doc_id", "n", "tokens", F.lit(True).alias("probe"), F.col("doc_id").alias("known"))), "first")
         roots = connected(scratch, first_links, "parts").withColumnRenamed("node", "doc_id")
-        cut = scratch.save(cut.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
-        main = cut.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-        rest = scratch.save(cut.join(main, "group").where("root <> main"), "rest")
+        rooted = scratch.save(cut.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+        scratch.drop("cut")
+        main = rooted.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+        rest = scratch.save(rooted.join(main, "group").where("root <> main"), "rest")
         # Those outside the main component meet every part, a bounded number at a time.
         turns = rest.groupBy("group").agg(F.ceil(F.sum("weight") / most_tokens).cast("int").alias("turns"))
         probes = rest.join(turns, "group").withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("turns")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        held = cut.join(turns, "group").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        held = rooted.join(turns, "group").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         task = lambda part: F.xxhash64("group", part, "turn")
         meet = probes.select(task("to").alias("pack"), task("to").alias("task"), "doc_id", "n", "tokens", F.lit(True).alias("probe"), F.col("root").alias("known"))
         meet = meet.unionByName(held.select(task("part").alias("pack"), task("part").alias("task"), "doc_id", "n", "tokens", F.lit(False).alias("probe"), F.col("root").alias("known")))
-        links = links.union(first_links).union(_join_groups(meet))
-    root = connected(scratch, same.union(links), "all")
-    rooted = rows.join(root, rows["rep"] == root["node"], "left").withColumn("root", F.coalesce("root", "rep")).select("doc_id", "n", "root")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        links = scratch.save(links.union(first_links).union(_join_groups(meet)), "all-links")
+        for name in ("links", "first", "rooted", "rest"):
+            scratch.drop(name)
+    # A representative need not have its copies' smallest doc_id; with an edge to that one a root is the component's id.
+    least = rows.groupBy(F.col("rep").alias("a")).agg(F.min("doc_id").alias("b")).where("a <> b")
+    root = connected(scratch, same.union(links).union(least), "all")
+    return rows.join(root, rows["rep"] == root["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
