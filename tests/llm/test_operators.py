@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, decontaminate, jaccard, language_model, neighbours, packed_ids, quality, substrings, token_counts, tokenizers_, toxicity
-from inkwell.llm.common import Scratch, connected, offsets, word_hash
+from inkwell.llm.common import Scratch, Words, connected, hashed_words
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n_tokens int, score string, key long"
@@ -187,7 +187,7 @@ def test_prefix_tree(seed):
             s ^= {rng.randrange(most)}
         sets.append(s or {0})
     linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
-    got, want = jaccard.Union(n), jaccard.Union(n)
+    got, want = jaccard.Components(n), jaccard.Components(n)
     for a, b in jaccard.tree_links(np.arange(n), np.array([len(s) for s in sets]), [np.array(sorted(s), np.uint64) for s in sets]):
         assert linked(sets[a], sets[b])
         got.join(a, b)
@@ -195,7 +195,22 @@ def test_prefix_tree(seed):
         for b in range(a):
             if linked(sets[a], sets[b]):
                 want.join(a, b)
-    assert [got.find(k) for k in range(n)] == [want.find(k) for k in range(n)]
+    same = lambda c: [[c.label[a] == c.label[b] for a in range(n)] for b in range(n)]
+    assert same(got) == same(want)
+
+
+def test_prefix_tree_does_not_look_at_all_of_a_group():
+    """Sets with 30 common tokens of 100 and no link: no branch is entered, whatever the group's size."""
+    common = np.arange(30, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, np.uint64(1000 + 70 * k) + np.arange(70, dtype=np.uint64)])) for k in range(500)]
+    visits = []
+    overlaps = jaccard.PrefixTree.overlaps
+    try:
+        jaccard.PrefixTree.overlaps = lambda self, *a: visits.append(1) or overlaps(self, *a)
+        assert jaccard.tree_links(np.arange(500), np.full(500, 100), sets) == []
+    finally:
+        jaccard.PrefixTree.overlaps = overlaps
+    assert not visits
 
 
 def test_connected(spark, scratch):
@@ -258,18 +273,34 @@ def test_substrings_of_nothing(docs, scratch):
     assert substrings.remove_repeats(docs.limit(0), scratch).count() == 0
 
 
-@pytest.mark.parametrize("size", [3, 8, 50, 5000])
-def test_equal_windows_have_equal_anchors(size):
+@pytest.mark.parametrize("size", [1, 3, 8, 50, 5000])
+def test_equal_windows_have_equal_anchors_and_names(size):
+    """Windows, wherever they stand, are named alike if and only if their words are the same."""
     rng = random.Random(size)
     v = [b"w%d" % i for i in range(size)]
     base = [rng.choice(v) for _ in range(800)]
     texts = [[w for _ in range(4) for p in [rng.randrange(760)] for w in base[p : p + 30] + [rng.choice(v)] * rng.randrange(25)] for _ in range(40)]
-    at = offsets(texts)
-    h = word_hash().flat(texts)
-    s, name, sure, _ = substrings.anchors(h, at)
-    seen = {}
-    for k, x in enumerate(substrings.window_hashes(h, s).tolist()):
-        assert seen.setdefault(x, (int(name[k]), bool(sure[k]))) == (int(name[k]), bool(sure[k]))
+    h, at = hashed_words([b" ".join(t) for t in texts])
+    flat = [w for t in texts for w in t]
+    s, anchor, sure, _ = substrings.anchors(h, at)
+    name, check = substrings.window_names(h, at, s)
+    by_words, by_name = {}, {}
+    for k, start in enumerate(s.tolist()):
+        words, own = tuple(flat[start : start + 20]), (int(name[k]), int(check[k]))
+        assert by_words.setdefault(words, (own, int(anchor[k]), bool(sure[k]))) == (own, int(anchor[k]), bool(sure[k]))
+        assert by_name.setdefault(own, words) == words
+
+
+def test_words_are_told_apart_as_by_the_pattern():
+    texts = ["", " ", "a", "a b", "\ta\x0b b\x1c c\x85\n", "long" * 50 + " " + "long" * 50, "éß 中文中文中文中文 \x00 x", "A b A"]
+    words = Words([t.encode() for t in texts])
+    h, seen = words.hashes().tolist(), {}
+    for k, t in enumerate(texts):
+        own = W.findall(t)
+        assert words.text(k) == " ".join(own).encode() and words.at[k + 1] - words.at[k] == len(own)
+        for w, x in zip(own, h[words.at[k] : words.at[k + 1]], strict=True):
+            assert seen.setdefault(x, w) == w
+    assert len(seen) == len({w for t in texts for w in W.findall(t)})
 
 
 def test_language_model(spark, docs, rows, scratch):
@@ -307,14 +338,54 @@ def test_language_model_sees_words(spark, scratch):
         assert got[held[2]]["score"] > got[held[3]]["score"] + 10
 
 
-def test_language_model_sums_to_one():
-    rng = np.random.default_rng(3)
-    context, outcome, train = rng.integers(0, 9, 4000), rng.integers(0, 12, 4000), rng.random(4000) < 0.8
+def _events(seed=3, n=4000):
+    rng = np.random.default_rng(seed)
+    context, outcome, training = rng.integers(0, 9, n), rng.integers(0, 12, n), rng.random(n) < 0.8
     # Every outcome of every context once more, unseen in training, so that each has a probability.
-    context, outcome, train = np.append(context, np.repeat(np.arange(9), 12)), np.append(outcome, np.tile(np.arange(12), 9)), np.append(train, np.zeros(108, bool))
-    prior = rng.dirichlet(np.ones(12))
-    p = language_model.over(context, language_model.rank(context * 12 + outcome), train, prior[outcome], 2.0)[-108:]
-    assert np.allclose(p.reshape(9, 12).sum(axis=1), 1)
+    context, outcome, training = np.append(context, np.repeat(np.arange(9), 12)), np.append(outcome, np.tile(np.arange(12), 9)), np.append(training, np.zeros(108, bool))
+    return context, outcome, training, rng.dirichlet(np.ones(12))
+
+
+def test_language_model_sums_to_one():
+    context, outcome, training, prior = _events()
+    context[:40], outcome[:40] = 8, 3
+    p = language_model.train(context, language_model.rank(context * 12 + outcome), training, prior[outcome], 0.2)
+    assert np.allclose(p[-108:].reshape(9, 12).sum(axis=1), 1)
+    # All classes of some words before last, in each class context.
+    c, v, one = np.tile(np.arange(65), 12), np.repeat(np.arange(3), 4 * 65), np.tile(np.repeat(np.arange(4), 65), 3)
+    rng = np.random.default_rng(1)
+    classes = np.log(rng.dirichlet(np.ones(65), language_model.CONTEXTS)).astype(np.float32)
+    p = language_model.skips(v, v * 65 + one, c, (rng.random(len(c)) < 0.3).astype(np.uint8), classes, block=2)
+    assert np.allclose(p.reshape(12, 65).sum(axis=1), 1, atol=1e-4)
+
+
+def test_language_model_gradients_are_those_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    of, n = rng.integers(0, 5, 30), rng.integers(0, 9, 30).astype(float)
+    m = np.bincount(of, n, 5) + rng.integers(0, 4, 5)
+    prior, theta = rng.random(30) / 40, rng.normal(size=30)
+    gradient, _ = language_model.gradient_at(theta, n, m, of, prior, 0.3)
+    for k in range(30):
+        step = np.eye(30)[k] * 1e-5
+        rise = language_model.objective(theta + step, n, m, of, prior, 0.3) - language_model.objective(theta - step, n, m, of, prior, 0.3)
+        assert math.isclose(rise / 2e-5, gradient[k], rel_tol=1e-4, abs_tol=1e-4)
+    ctx, counts = np.array([3, 70, 71, 4224]), rng.integers(0, 5, (4, 65)).astype(float)
+    weights = rng.normal(size=(language_model.FEATURES, 65)) / 5
+    total, _ = language_model.gradient_of(weights, ctx, counts)
+    likelihood = lambda w: (counts * np.log(language_model.softmax(w, ctx))).sum()
+    for f, c in ((0, 3), (1 + 3, 7), (1 + 65 + 1, 0)):
+        step = np.zeros_like(weights)
+        step[f, c] = 1e-5
+        assert math.isclose((likelihood(weights + step) - likelihood(weights - step)) / 2e-5, total[f, c], rel_tol=1e-4, abs_tol=1e-4)
+    word, first, classes = np.array([0, 0, 1]), np.array([0, 2]), rng.dirichlet(np.ones(65), 3)
+    own, cells = rng.integers(0, 4, (2, 65)).astype(float), np.array([40.0, 50.0, 60.0])
+    w = rng.normal(size=(2, 65)) / 5
+    value = lambda w: (own * w).sum() - (cells * np.log((classes * np.exp(w)[word]).sum(axis=1))).sum() - 0.25 * (w**2).sum()
+    gradient, _ = language_model.skip_gradient(w, own, cells, classes, word, first, 0.5)
+    for i, j in ((0, 0), (0, 64), (1, 5)):
+        step = np.zeros_like(w)
+        step[i, j] = 1e-5
+        assert math.isclose((value(w + step) - value(w - step)) / 2e-5, gradient[i, j], rel_tol=1e-4, abs_tol=1e-4)
 
 
 def _labelled(spark, good, bad, n=160):
