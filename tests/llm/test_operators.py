@@ -138,6 +138,8 @@ def test_bpe(spark, docs, rows):
     assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(encoded, path).collect()} == {k: t or "" for k, t, *_ in rows}
     assert bpe.round_trip(docs.limit(0), path).count() == 0
     rng = random.Random(4)
+    long = ["ab" * 400, "the" * 300, "".join(rng.choice("etaoin") for _ in range(3000)), "é" * 500, "x" * 100_000]
+    assert bpe.bpe(path).encode(long) == [tokenizer.encode(x, add_special_tokens=False).ids for x in long]
     odd = ["".join(rng.choice("aab the'sre \n\t é中\U00020000<|endoftext|>129!\x00\x1c\x85") for _ in range(rng.randrange(40))) for _ in range(500)]
     assert bpe.bpe(path).encode(odd) == [tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
     assert bpe.bpe(path).decode([tokenizer.token_to_id("Ã")]).decode() == tokenizer.decode([tokenizer.token_to_id("Ã")], skip_special_tokens=False)
