@@ -17,11 +17,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, k
     """(y, text) of at most ``most`` documents: those labelled rows outside the held-out quarter that a hash ranks first.
 
     The ranked keys are at most ``most`` rows, which bounds the broadcast. Rows without a label or key take no part,
-    a key with two labels takes its larger one.
+    a key with two labels takes its larger one, a key with several rows the text that comes first.
     """
     chosen = labels.where(remainder(key, 4) != 2).where(F.col(label).isNotNull()).groupBy(F.col(key).alias("sample_key")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("sample_key"), "sample_key").limit(most)
-    return texts(docs, F.col(key).alias("row_key")).join(F.broadcast(chosen), F.col("row_key") == F.col("sample_key")).select("row_key", "y", "text").limit(most)
+    return texts(docs, F.col(key).alias("row_key")).join(F.broadcast(chosen), F.col("row_key") == F.col("sample_key")).groupBy("row_key").agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
 
 def gather(sample: DataFrame, features: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
