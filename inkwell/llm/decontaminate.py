@@ -10,7 +10,10 @@ each get their result; an empty benchmark contaminates nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import chunks, table, texts
+from inkwell.llm.common import Scratch, chunks, table, texts
 
 WINDOW = 10
 #: Bytes of window text in one automaton. A larger benchmark is scanned for in several passes.
@@ -38,7 +41,7 @@ def windows(text: bytes, size: int = WINDOW) -> list[str]:
 
 
 def patterns(benchmark: DataFrame, size: int = WINDOW, most: int = MAX_PATTERN_BYTES) -> Iterator[dict[str, list[str]]]:
-    """window -> item ids (as text), in parts of bounded size; read item by item, never collected at once."""
+    """window -> item ids (as text), in parts of bounded size; the benchmark is read a partition at a time."""
     part: dict[str, list[str]] = {}
     weight = 0
     for row in texts(benchmark, F.col("item_id").cast("string").alias("item")).where("item is not null").toLocalIterator():
@@ -54,12 +57,12 @@ def patterns(benchmark: DataFrame, size: int = WINDOW, most: int = MAX_PATTERN_B
         yield part
 
 
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def _automaton(shared) -> ahocorasick.Automaton:
     """Built once in a worker for each broadcast."""
-    key = shared.value["key"]
+    key = shared.value["key"]  # its own for each broadcast, so a worker never takes an older one's
     if key not in _built:
         _built.clear()
         a = ahocorasick.Automaton()
@@ -103,37 +106,46 @@ def char_spans(text: bytes, merged: list[tuple[int, int]]) -> list[dict[str, int
 _SPANS = "array<struct<start:long,end:long>>"
 
 
+def _shared(spark: SparkSession, part: dict[str, list[str]]):
+    return spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "patterns": part})
+
+
+def _scanner(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _automaton(shared)
+        for batch, data in chunks(batches):
+            rows = [(n, r, sorted(i), char_spans(x, r)) for x in data for n, r, i in [scan(x, a)]]
+            cols = {"row_key": batch.column("row_key"), "n_words": pa.array([x[0] for x in rows], pa.int64()), "ranges": pa.array([[{"s": s, "e": e} for s, e in x[1]] for x in rows], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), "items": pa.array([x[2] for x in rows], pa.list_(pa.string())), "spans": pa.array([x[3] for x in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
+            if "row_no" in batch.schema.names:
+                cols["row_no"] = batch.column("row_no")
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return run
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW, most: int = MAX_PATTERN_BYTES) -> DataFrame:
     """(key, n_words, n_hit, items, spans): one row per row of docs; spans are byte offsets in the text as it is.
 
-    With a benchmark beyond ``most`` bytes each text is scanned once per part, and the parts' word ranges are merged by row.
+    With a benchmark beyond ``most`` bytes each text is scanned once per part, part after part, so that driver and workers
+    hold one part at a time; rows are numbered in a written table, and the parts' word ranges are merged by number.
     """
     spark = docs.sparkSession
-    parts = []
     kind = docs.select(key).schema[0].dataType
     out = f"row_key {kind.simpleString()}, n_words long, ranges array<struct<s:long,e:long>>, items array<string>, spans {_SPANS}"
     source = texts(docs, F.col(key).alias("row_key"))
-    many = list(patterns(benchmark, size, most))
-    if len(many) > 1:
-        source = source.withColumn("row_no", F.monotonically_increasing_id())
-        out += ", row_no long"
-    for k, part in enumerate(many):
-        shared = spark.sparkContext.broadcast({"key": hash((id(part), k, len(part))), "patterns": part})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = _automaton(shared)
-            for batch, data in chunks(batches):
-                rows = [(n, r, sorted(i), char_spans(x, r)) for x in data for n, r, i in [scan(x, a)]]
-                cols = {"row_key": batch.column("row_key"), "n_words": pa.array([x[0] for x in rows], pa.int64()), "ranges": pa.array([[{"s": s, "e": e} for s, e in x[1]] for x in rows], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), "items": pa.array([x[2] for x in rows], pa.list_(pa.string())), "spans": pa.array([x[3] for x in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
-                if "row_no" in batch.schema.names:
-                    cols["row_no"] = batch.column("row_no")
-                yield pa.RecordBatch.from_pydict(cols)
-
-        parts.append(source.mapInArrow(run, out))
-    hits = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            hits = hits.union(p)
+    parts = patterns(benchmark, size, most)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        hits = source.mapInArrow(_scanner(_shared(spark, first)), out)
+    else:
+        scratch = Scratch(spark, "hits")
+        source = scratch.save(source.withColumn("row_no", F.monotonically_increasing_id()), "rows")
+        tables = []
+        for k, part in enumerate(chain((first, second), parts)):
+            shared = _shared(spark, part)
+            tables.append(scratch.save(source.mapInArrow(_scanner(shared), f"{out}, row_no long"), f"part-{k}"))
+            shared.destroy()
+        hits = reduce(DataFrame.union, tables)
         hits = hits.groupBy("row_no").agg(F.first("row_key").alias("row_key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     covered = F.aggregate(
         F.array_sort("ranges"),
