@@ -8,6 +8,9 @@ any document is read without the ones before it.
 A shard's file, little-endian: magic ``PFB1``, u32 documents, u32 blocks, u64 ids; i64 keys; u32 lengths; u64 block
 positions (one more than blocks); blocks: u32 minimum, u8 width, u8 exceptions, packed bits, u8 positions, u32 highs.
 Spark writes one shard a row, in Parquet, as executors may share nothing but Spark's own store.
+
+Null and empty texts have the end id only; rows without a key are left out; repeated rows follow one another, each with its
+own ids; an empty table gives no shard and reads back as no rows; other columns of the table don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids that a shard takes before the next one begins.
 SHARD_IDS = 500_000
+#: Shards whose starts are broadcast at most.
+MOST_STARTS = 200_000
 #: UTF-8 bytes that are encoded at a time; more let more words be told apart at once.
 ENCODE_BYTES = 12_000_000
 
@@ -163,11 +168,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, key:
 def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(key, start, ids as little-endian 32-bit integers), read from the shards at path.
 
-    A shard's start is the sum of the ids of the shards before it: a window over one small row a shard.
+    A shard's start is the sum of the ids of the shards before it: of the partitions before, one row each, and of those of its own partition. Starts
+    are 16 bytes a shard and are broadcast up to MOST_STARTS shards; beyond, the shards are shuffled to them.
     """
     shards = spark.read.parquet(path)
-    order = Window.orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("shard_no", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("shard_start"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = shards.select("shard_no", F.shiftright("shard_no", 32).alias("part"), F.col("n_ids").alias("n"))
+    before = small.groupBy("part").agg(F.sum("n").alias("n")).select("part", so_far(Window.orderBy("part")).alias("part_start"))
+    starts = small.withColumn("inside", so_far(Window.partitionBy("part").orderBy("shard_no"))).join(before, "part").select("shard_no", (F.col("part_start") + F.col("inside")).alias("shard_start"))
+    starts = F.broadcast(starts) if shards.count() <= MOST_STARTS else starts
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
