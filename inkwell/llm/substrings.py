@@ -334,7 +334,7 @@ def _later(nb: int):
     return run
 
 
-def _remove(with_text: bool):
+def _remove(with_text: bool, carried: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data in chunks(batches):
             rows, words = [], Words(data)
@@ -348,7 +348,10 @@ def _remove(with_text: bool):
                 spans = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
                 rows.append((n, int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, spans))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string()), "kept_text": pa.array(cols[3], pa.string()), "spans": pa.array(cols[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+            if carried:
+                cols[3] = [x if kept is None else kept for x, kept in zip(batch.column("text").to_pylist(), cols[3], strict=True)]
+            more = {"carried": batch.column("carried")} if carried else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string()), "kept_text": pa.array(cols[3], pa.string()), "spans": pa.array(cols[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), **more})
 
     return run
 
@@ -356,25 +359,29 @@ def _remove(with_text: bool):
 _REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start:long,end:long>>"
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, spans) for each row of docs that has a doc_id.
 
     spans are the removed ranges of words. kept_text is the kept words joined by one space, for documents that lose
-    words (null for the others, which stay as they are, and without with_text).
+    words (null for the others, which stay as they are, and without with_text). With carry, these columns of docs come as one more,
+    the struct ``carried``, and kept_text is never null: the text as it is where no word goes.
     """
     nb = BUCKETS_PER_PARTITION * partitions(docs.sparkSession)
-    source = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    with_starts = lambda found, how: source.join(found, source["doc_id"] == found["key"], how).select("doc_id", "text", "starts")
+    carried = [F.struct(*(docs[c] for c in carry)).alias("carried")] if carry else []
+    full = texts(docs, docs["doc_id"].cast("long").alias("doc_id"), *carried).where("doc_id is not null")
+    source = full.select("doc_id", "text")
+    with_starts = lambda rows, found, how: rows.join(found, rows["doc_id"] == found["key"], how).select(*rows.columns, "starts")
     repeated = reduce_buckets(source.mapInArrow(_anchor_packets(nb), SCHEMA), _repeated_anchors(nb), SCHEMA)
     looked = scratch.save(reduce_buckets(repeated, _by_document, "key long, starts binary"), "looked")
     scratch.release()
-    later = reduce_buckets(with_starts(looked, "inner").mapInArrow(_window_packets(nb), SCHEMA), _later(nb), SCHEMA)
+    later = reduce_buckets(with_starts(source, looked, "inner").mapInArrow(_window_packets(nb), SCHEMA), _later(nb), SCHEMA)
     flagged = scratch.save(reduce_buckets(later, _by_document, "key long, starts binary"), "flagged")
     scratch.drop("looked")
     # Spark holds the shuffles of a job until another has run.
     docs.sparkSession.range(1).repartition(1).count()
     scratch.release()
-    return with_starts(flagged, "left").mapInArrow(_remove(with_text), _REMOVED)
+    out = f"{_REMOVED}, carried {full.schema['carried'].dataType.simpleString()}" if carry else _REMOVED
+    return with_starts(full, flagged, "left").mapInArrow(_remove(with_text, bool(carry)), out)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -484,6 +484,28 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()} == {(7, "c d"), (8, "e"), (None, "f")}
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, and columns named as the stages' own."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, f"a {passage}", None, "s", 5, "x", 1.5), (2, f"b c {passage}", "en", None, None, None, None), (3, None, "en", "s", 0, "y", 2.5), (4, "", "en", "s", 0, "z", 0.0), (None, None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `kept` string, `row` double"
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, docs, str(tmp_path))
+            assert k == 4 or got.columns == docs.columns
+            kept = [(r["doc_id"], r["text"], r["row"]) for r in got.collect()] if k < 4 else [()] * got.count()
+            if docs.isEmpty():
+                assert not kept
+            elif k == 2:
+                assert sorted(kept, key=str) == sorted([(1, f"a {passage}", 1.5), (2, "b c", None), (3, None, 2.5), (4, "", 0.0), (None, None, None)], key=str)
+            elif k:
+                assert len(kept) == {1: 3, 3: 5, 4: 5}[k]  # two are near copies
+
+
 def test_word_encoder_equals_library_on_hard_words():
     from inkwell.llm.tokenizers_ import WordEncoder
 
