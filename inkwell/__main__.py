@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import PurePath
 
 from pyspark.sql import SparkSession
 
 from inkwell.operators.hyphenation import read_patterns, us_english_patterns
 from inkwell.plans.site import Identity, site_files
 from inkwell.sources.markdown import posts, read_bundles
-from inkwell.sources.sink import STYLE, timer, write_site
+from inkwell.sources.sink import STYLE, copy_asset, favicon, timer, write_site
 
 
 def main() -> None:
@@ -19,6 +20,7 @@ def main() -> None:
     p.add_argument("path", nargs="?", default="-")
     p.add_argument("--out", required=True)
     p.add_argument("--patterns", help="a file of hyphenation patterns, one a line")
+    p.add_argument("--asset", action="append", default=[], help="a file that goes beside the pages as it is; style.css and favicon.png replace the built-in ones")
     p.add_argument("--documented", action="store_true", help="documented rules instead of compatible output")
     p.add_argument("--title", default=Identity.title)
     p.add_argument("--host", default=Identity.host)
@@ -32,7 +34,9 @@ def main() -> None:
             n = found.count()
         with timer("Render"):
             if n:
-                write_site(spark, site_files(found, Identity(title=a.title, host=a.host)), a.out, {f"{Identity.root}/style.css": STYLE})
+                write_site(spark, site_files(found, Identity(title=a.title, host=a.host)), a.out, {f"{Identity.root}/style.css": STYLE, f"{Identity.root}/favicon.png": favicon()})
+                for asset in a.asset:
+                    copy_asset(asset, f"{a.out}/{Identity.root}", PurePath(asset).name)
 
 
 if __name__ == "__main__":

@@ -12,7 +12,7 @@ from importlib.resources import files
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,11 +68,12 @@ def words_of(docs: DataFrame, text: str = "text") -> DataFrame:
 def hyphen_points(words: DataFrame, patterns: DataFrame) -> DataFrame:
     """(word, gap, p) for gaps with a digit: substrings of the dotted word joined with the broadcast patterns.
 
-    Give it distinct words. Patterns are a corpus of a few thousand rows, whatever the text.
+    Give it distinct words. Patterns are a corpus of a few thousand rows of any length, whatever the text; only substrings of a pattern's length are made.
     """
     dotted = F.concat(F.lit("."), F.lower("word"), F.lit("."))
-    starts = words.select("word", dotted.alias("w")).select("word", "w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("s"))
-    parts = starts.select("word", "s", F.explode(F.expr("transform(sequence(2, 10), n -> case when s + n - 1 <= length(w) then substring(w, s, n) end)")).alias("letters")).where("letters is not null")
+    sizes = [r["n"] for r in patterns.select(F.length("letters").alias("n")).distinct().collect()]  # a few numbers
+    cut = f"flatten(transform(sequence(1, length(w)), s -> transform(filter(array({', '.join(map(str, sorted(sizes))) or '1'}), n -> s + n - 1 <= length(w)), n -> struct(s, substring(w, s, n) as letters))))"
+    parts = words.select("word", dotted.alias("w")).select("word", F.explode(F.expr(cut)).alias("x")).select("word", "x.s", "x.letters")
     joined = parts.join(F.broadcast(patterns), "letters").select("word", "s", F.posexplode("points").alias("j", "p")).where("p > 0")
     return joined.groupBy("word", (F.col("s") - 2 + F.col("j")).cast("int").alias("gap")).agg(F.max("p").cast("int").alias("p"))
 
@@ -88,19 +89,28 @@ def hyphenate_words(words: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 class Hyphenator:
-    """The same for one word at a time, remembered."""
+    """The same for one word at a time, remembered. Patterns form a trie, so a start is left at the first letter that no pattern has."""
 
     def __init__(self, patterns: dict[str, list[int]]) -> None:
-        self.patterns, self.longest = patterns, max(map(len, patterns), default=0)
+        self.trie: dict = {}
+        for letters, points in patterns.items():
+            node = self.trie
+            for c in letters:
+                node = node.setdefault(c, {})
+            node["points"] = [(j, p) for j, p in enumerate(points) if p]
         self.known: dict[str, str] = {}
 
     def points(self, word: str) -> list[int]:
         w, out = f".{word.lower()}.", [0] * (len(word) + 3)
         for s in range(len(w)):
-            for n in range(2, min(self.longest, len(w) - s) + 1):
-                if points := self.patterns.get(w[s : s + n]):
-                    for j, p in enumerate(points):
-                        out[s + j] = max(out[s + j], p)
+            node = self.trie
+            for c in w[s:]:
+                node = node.get(c)
+                if node is None:
+                    break
+                for j, p in node.get("points", ()):
+                    if p > out[s + j]:
+                        out[s + j] = p
         return out[1 : len(word) + 2]
 
     def __call__(self, word: str) -> str:
@@ -186,6 +196,70 @@ def merged_outputs(patterns: DataFrame) -> DataFrame:
     return hit.groupBy("prefix", (F.col("n") - F.col("j")).cast("int").alias("from_end")).agg(F.max("p").cast("int").alias("p"))
 
 
+def output_vectors(patterns: DataFrame) -> DataFrame:
+    """(prefix, points): what a state puts out, the largest digits of all patterns that end there, aligned at the end."""
+    nodes = prefixes(patterns).where("prefix <> ''")
+    suffixes = nodes.select("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda s: F.expr("prefix").substr(s, F.length("prefix")))).alias("letters"))
+    hit = suffixes.join(F.broadcast(patterns), "letters").select("prefix", F.length("letters").alias("n"), F.posexplode("points").alias("j", "p"))
+    each = hit.groupBy("prefix", (F.col("j") - F.col("n")).alias("place")).agg(F.max("p").cast("int").alias("p"))
+    return each.groupBy("prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "p"))), lambda x: x["p"]).alias("points"))
+
+
+def first_fit(children: dict[int, list[int]]) -> tuple[dict[int, int], dict[int, int]]:
+    """(base, place) of a trie's nodes in one array: a node's child by c stands at its base + c, and no two nodes share a place.
+
+    children: each node's letters with the child's number, packed as child << 8 | letter; node 0 is the root. Larger families are
+    placed first; free places are bits of one number, so that a base is tried by one shift.
+    """
+    taken, low = 1, 1
+    base, place = {0: 0}, {0: 0}
+    for node in sorted(children, key=lambda k: (-len(children[k]), k)):
+        letters = [x & 255 for x in children[node]]
+        mask = sum(1 << c for c in letters)
+        while taken >> low & 1:
+            low += 1
+        at = max(0, low - max(letters))
+        while taken >> at & mask:
+            at += 1
+        base[node] = at
+        taken |= mask << at
+        for x in children[node]:
+            place[x >> 8] = at + (x & 255)
+    return base, place
+
+
+def compile_table(patterns: DataFrame) -> tuple[list[tuple[int, int, int, int, int]], list[int], float]:
+    """(rows, pool, fill rate in percent) of the packed automaton: (place, base, place of the parent, place of the suffix state, data).
+
+    data is the position of the state's output in the pool << 4 | its length, 0 for none. A small offline step on the driver: the
+    trie of a few thousand patterns.
+    """
+    links = {r["prefix"]: r["fail"] for r in failure_links(patterns).collect()}
+    names = sorted(["", *links], key=lambda x: (len(x), x))
+    number = {x: k for k, x in enumerate(names)}
+    children: dict[int, list[int]] = {}
+    for x in names[1:]:
+        children.setdefault(number[x[:-1]], []).append(number[x] << 8 | ord(x[-1]))
+    base, place = first_fit(children)
+    outputs = {r["prefix"]: "".join(map(str, r["points"])) for r in output_vectors(patterns).collect()}
+    pool = shortest_superstring(list(outputs.values()))
+    data = {x: pool.index(v) << 4 | len(v) for x, v in outputs.items()}
+    rows = [(place[k], base.get(k, 0), place[number[x[:-1]]] if x else -1, place[number[links[x]]] if x else 0, data.get(x, 0)) for x, k in number.items()]
+    return sorted(rows), [int(c) for c in pool], 100 * len(rows) / (max(place.values()) + 1)
+
+
+def sample_words(words: DataFrame, n: int = 10_000, seed: int = 0, lengths: tuple[int, int] = (5, 18)) -> DataFrame:
+    """(len, k, word): for each length n words, drawn with replacement by a hash of seed, length and k, so a sample can be had again.
+
+    words: distinct words; they are numbered within their length.
+    """
+    own = words.where(F.length("word").between(*lengths)).select(F.length("word").alias("len"), "word")
+    order = own.withColumn("at", F.row_number().over(Window.partitionBy("len").orderBy("word")) - 1)
+    counts = own.groupBy("len").agg(F.count("*").alias("count")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "len", "k").cast("binary")), 1, 8), 16, 10).cast("long")
+    return counts.withColumn("at", hashed % F.col("count")).join(order, ["len", "at"]).select("len", "k", "word")
+
+
 def overlaps(rows: DataFrame) -> DataFrame:
     """(a, b, n): for ordered pairs of different ids, the longest suffix of a's text that is a prefix of b's, if any.
 
@@ -204,9 +278,32 @@ def drop_contained(rows: DataFrame) -> DataFrame:
 
 
 def shortest_superstring(texts: list[str]) -> str:
-    """A short text that holds all given: greedy merging of the best overlap; a small offline compaction on the driver."""
-    left = sorted({t for t in texts if not any(t != u and t in u for u in texts)})
-    while len(left) > 1:
-        n, a, b = max(((next((k for k in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:k])), 0), a, b) for a in left for b in left if a != b), key=lambda x: (x[0], x[1], x[2]))
-        left = sorted([t for t in left if t not in (a, b)] + [a + b[n:]])
-    return left[0] if left else ""
+    """A short text that holds all given: the largest overlaps are joined first, each text to one other at either end.
+
+    A small offline compaction on the driver.
+    """
+    left = sorted(set(texts))
+    left = [t for t in left if not any(t in u for u in left if len(u) > len(t))]
+    starts: dict[str, list[int]] = {}
+    for k, t in enumerate(left):
+        for n in range(1, len(t)):
+            starts.setdefault(t[:n], []).append(k)
+    follows, begun, chain = {}, set(), list(range(len(left)))  # chain: the other end of the chain that a text ends or begins
+    for n in range(max(map(len, left), default=0) - 1, 0, -1):
+        for a, t in enumerate(left):
+            if a in follows or len(t) <= n:
+                continue
+            b = next((b for b in starts.get(t[-n:], ()) if b not in begun and chain[a] != b), None)
+            if b is not None:
+                follows[a] = (b, n)
+                begun.add(b)
+                head, tail = chain[a], chain[b]
+                chain[head], chain[tail] = tail, head
+    out = []
+    for a in range(len(left)):
+        if a not in begun:
+            out.append(left[a])
+            while a in follows:
+                a, n = follows[a]
+                out.append(left[a][n:])
+    return "".join(out)

@@ -298,9 +298,43 @@ def merged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.merged_outputs(h.us_english_patterns(spark))
 
 
-@query(f"with {_PATTERNS} select distinct array_to_string(points, ',') as points from pats")
+@query(f"with {_NODES}, s as (select prefix, substring(prefix, k) as letters from (select prefix, unnest(generate_series(1, length(prefix))) as k from nodes where prefix <> '')), x as (select prefix, length(s.letters) as n, unnest(generate_series(1, len(points))) as j, unnest(points) as p from s join pats using (letters)), v as (select prefix, j - 1 - n as place, max(p) as p from x group by all) select distinct points from (select prefix, string_agg(p, ',' order by place) as points from v group by prefix)")
 def distinct_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern_parse(spark, sf_dir).select("points").distinct()
+    """What states put out once the outputs along their suffix links are merged."""
+    return h.output_vectors(h.us_english_patterns(spark)).select(F.array_join(F.transform("points", lambda p: p.cast("string")), ",").alias("points")).distinct()
+
+
+@query(None)
+def packed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compiled automaton, a row a state. Checked by a test, as its placement is an algorithm of its own."""
+    rows, _, _ = h.compile_table(h.us_english_patterns(spark))
+    return spark.createDataFrame(rows, "place int, base int, parent int, suffix int, data int")
+
+
+@query(f"with {_NODES} select cast(count(*) as bigint) as states, cast(0 as bigint) as lost_outputs, true as full_enough from nodes")
+def packed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the compiled table, outputs that its pool doesn't hold, and whether 95 % of its places are used."""
+    patterns = h.us_english_patterns(spark)
+    rows, pool, fill = h.compile_table(patterns)
+    text = "".join(map(str, pool))
+    lost = h.output_vectors(patterns).where(~F.contains(F.lit(text), F.array_join(F.transform("points", lambda p: p.cast("string")), "")))
+    return lost.agg(F.lit(len(rows)).cast("long").alias("states"), F.count("*").alias("lost_outputs"), F.lit(fill > 95).alias("full_enough"))
+
+
+_SAMPLE = """own as (select cast(length(word) as int) as len, word, row_number() over (partition by length(word) order by word) - 1 as pos from words where length(word) between 5 and 18),
+ k as (select len, count(*) as n, unnest(generate_series(0, 9999)) as k from own group by len), drawn as (select len, cast(k as int) as k, cast('0x' || substr(md5('0:' || len || ':' || k), 1, 8) as bigint) % n as pos from k)"""
+
+
+@query(f"with {_WORDS}, {_SAMPLE} select len, k, word from drawn join own using (len, pos)")
+def sampled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000 words of each length of 5 to 18, with replacement: what the hyphenator is timed on."""
+    return h.sample_words(h.words_of(_docs(spark, sf_dir)))
+
+
+@query(f"with {_WORDS}, {_HYPHENATED}, {_SAMPLE} select len, k, hyphenated from drawn join own using (len, pos) join hyphenated using (word)")
+def hyphenate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample, hyphenated on Arrow batches."""
+    return sampled_words(spark, sf_dir).select("len", "k", h.hyphenator(h.us_english_patterns(spark))(F.col("word")).alias("hyphenated"))
 
 
 _ROWS = "rows_ as (select n_nationkey as id, lower(n_name) as seq from nation union all select 100 + r_regionkey, lower(left(r_name, 3)) from region)"
@@ -326,12 +360,11 @@ def words_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.length("word").alias("len")).agg(F.count("*").alias("n"))
 
 
-@query("select cast(0 as bigint) as different")
+@query(f"with {_WORDS}, {_HYPHENATED} select word, hyphenated, hyphenated as on_arrow from hyphenated")
 def impl_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the relational hyphenator and the function on Arrow batches break differently: none."""
+    """Every word as the relational hyphenator and as the function on Arrow batches break it."""
     words, patterns = h.words_of(_docs(spark, sf_dir)), h.us_english_patterns(spark)
-    both = h.hyphenate_words(words, patterns).withColumn("other", h.hyphenator(patterns)(F.col("word")))
-    return both.where("hyphenated <> other").agg(F.count("*").alias("different"))
+    return h.hyphenate_words(words, patterns).withColumn("on_arrow", h.hyphenator(patterns)(F.col("word")))
 
 
 _LOG = "select 'bench' || p_size || '_' || case when p_partkey % 2 = 0 then 'own' else 'other' end || ' bench: ' || cast(p_size * 100 + p_partkey % 7 as bigint) || ' ns/iter (+/- 5)' as line from part"
@@ -353,6 +386,6 @@ def markdown_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("bundle"), value.alias("value")), h.us_english_patterns(spark))
 
 
-@query(None)
+@query(" union all ".join(f"select path, content from ({ORACLES[n]})" for n in ("post_html", "category_html", "index_html", "atom_xml", "sitemap_xml", "robots_txt")))
 def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.site_files(_posts(spark, sf_dir))

@@ -30,6 +30,10 @@ class Identity:
     root: str = "public"
 
 
+#: Pages whose running maximum one task takes.
+BLOCK = 4096
+
+
 def categorised(posts: DataFrame) -> DataFrame:
     return posts.where("category <> ''")
 
@@ -37,13 +41,13 @@ def categorised(posts: DataFrame) -> DataFrame:
 def numbered(posts: DataFrame) -> DataFrame:
     """Posts with ``rn`` (0, 1, ...) and ``page`` by ord.
 
-    Equal ranges of ord number their own posts, and one small row a range carries how many stand before it, so no task
-    sorts all posts. Ranges follow values, not Spark's partitions, and so are the same in every evaluation.
+    Ranges of ord with about equal numbers of posts number their own, and one small row a range carries how many stand before it,
+    so no task sorts all posts. The ranges are found once, so they are the same in every evaluation.
     """
     parts = 4 * int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = posts.agg(F.min("ord"), F.max("ord")).first()
-    low, high = low or 0, high or 0
-    ranged = posts.withColumn("__part", F.floor((F.col("ord") - low) / F.lit((high - low + 1) / parts)))
+    bounds = sorted(set(posts.approxQuantile("ord", [k / parts for k in range(1, parts)], 0.1 / parts)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("ord"))) if bounds else F.lit(0)
+    ranged = posts.withColumn("__part", part)
     base = ranged.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     rn = F.row_number().over(Window.partitionBy("__part").orderBy("ord")) - 1 + F.col("__base")
     return ranged.join(F.broadcast(base), "__part").withColumn("rn", rn.cast("long")).withColumn("page", F.expr(f"rn div {PAGE} + 1")).drop("__part", "__base")
@@ -69,10 +73,15 @@ def newest(posts: DataFrame, n: int = FEED) -> DataFrame:
 
 
 def sitemap_pages(posts: DataFrame) -> DataFrame:
-    """(page, lastmod): pages of all posts, with the largest modified so far; the running maximum is over pages, not posts."""
+    """(page, lastmod): pages of all posts, with the largest modified so far.
+
+    The running maximum is taken within blocks of pages; only one row a block goes through a single task.
+    """
     by_page = numbered(posts).groupBy("page").agg(F.max("modified").alias("m"))
-    so_far = F.max("m").over(Window.orderBy("page"))
-    return page_spine(posts).join(by_page, "page", "left").select("page", F.coalesce(so_far, F.lit("")).alias("lastmod"))
+    pages = page_spine(posts).join(by_page, "page", "left").select("page", "m", F.expr(f"page div {BLOCK}").alias("block"))
+    before = pages.groupBy("block").agg(F.max("m").alias("most")).select("block", F.max("most").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    so_far = F.max("m").over(Window.partitionBy("block").orderBy("page"))
+    return pages.withColumn("m", so_far).join(before, "block").select("page", F.coalesce(F.greatest("m", "before"), F.lit("")).alias("lastmod"))
 
 
 def sitemap_posts(posts: DataFrame, me: Identity = Identity()) -> DataFrame:

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import THIN_SPACE, script_of
+from inkwell.functions.text import CHINESE, ESCAPES, THIN_SPACE, script_of
 from inkwell.operators.hyphenation import Hyphenator, _WORD
 
 EVENTS = "bundle string, seq long, kind string, tag string, level int, text string, dest string, title string, aligns array<string>, list_start long, info string"
@@ -257,6 +257,11 @@ def tokenize(text: str) -> Iterator[Event]:
     return _blocks(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
 
 
+_MIXED = re.compile("[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in CHINESE) + "]")
+_SEAM = re.compile("(?<=[{0}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{0}])".format("".join(f"{chr(x)}-{chr(y)}" for x, y in CHINESE)))
+_ESCAPES = str.maketrans(dict(ESCAPES))
+
+
 class Lint:
     """Spacing, hyphenation and escaping of one text, as the Column functions do it."""
 
@@ -264,180 +269,152 @@ class Lint:
         self.hyphenate = hyphenate
 
     def __call__(self, text: str) -> str:
-        out, last = [], "U"
-        for run in re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9]", text):
-            now = script_of(run[0])
-            if "C" in (last, now) and last != now and "U" not in (last, now):
-                out.append(THIN_SPACE)
-            out.append(run)
-            last = script_of(run[-1])
-        spaced = _WORD.sub(lambda m: self.hyphenate(m[0]), "".join(out))
-        return spaced.replace("&", "&#38;").replace('"', "&#34;").replace("'", "&#39;").replace("<", "&lt;").replace(">", "&gt;")
+        spaced = _SEAM.sub(THIN_SPACE, text) if _MIXED.search(text) else text
+        return _WORD.sub(lambda m: self.hyphenate(m[0]), spaced).translate(_ESCAPES)
+
+
+# How a fragment stands to its neighbours: LINE begins a line, LEAD opens something around what follows, so that a thin space goes
+# before it, PLAIN only follows, BREAK ends adjacency of texts as LINE does, TEXT is linted text.
+LINE, LEAD, PLAIN, BREAK, TEXT = "line", "lead", "plain", "break", "text"
+
+# The fragment of each event, by kind and tag; names in braces are filled in from ``resolve``.
+FRAGMENTS: dict[tuple[str, str], tuple[str, str]] = {
+    ("text", ""): (TEXT, "{text}"),
+    ("html", ""): (BREAK, "{raw}"),
+    ("inline_html", ""): (BREAK, "{raw}"),
+    ("soft", ""): (LINE, ""),
+    ("hard", ""): (BREAK, "<br />\n"),
+    ("note", ""): (BREAK, '\u2060<sup><a href="#{note}">{note}</a></sup>'),
+    ("start", "paragraph"): (LINE, "<p>"),
+    ("end", "paragraph"): (PLAIN, "</p>\n"),
+    ("start", "rule"): (LINE, "<hr />\n"),
+    ("end", "rule"): (PLAIN, ""),
+    ("start", "quote"): (LINE, "<blockquote>\n"),
+    ("end", "quote"): (PLAIN, "</blockquote>\n"),
+    ("start", "item"): (LINE, "<li>"),
+    ("end", "item"): (PLAIN, "</li>\n"),
+    ("start", "header"): (LINE, "<h{level}>"),
+    ("end", "header"): (PLAIN, "</h{level}>\n"),
+    ("start", "table"): (LINE, "<table>"),
+    ("end", "table"): (PLAIN, "</tbody></table>\n"),
+    ("start", "table_head"): (LEAD, "<thead><tr>"),
+    ("end", "table_head"): (PLAIN, "</tr></thead><tbody>\n"),
+    ("start", "table_row"): (LEAD, "<tr>"),
+    ("end", "table_row"): (PLAIN, "</tr>\n"),
+    ("start", "table_cell"): (LEAD, "<{cell}{align}>"),
+    ("end", "table_cell"): (PLAIN, "</{cell}>"),
+    ("start", "code_block"): (LINE, "<pre><code{lang}>"),
+    ("end", "code_block"): (PLAIN, "</code></pre>\n"),
+    ("start", "list"): (LINE, "<{list}{first}>\n"),
+    ("end", "list"): (PLAIN, "</{list}>\n"),
+    ("start", "emphasis"): (LEAD, "<em>"),
+    ("end", "emphasis"): (PLAIN, "</em>"),
+    ("start", "strong"): (LEAD, "<strong>"),
+    ("end", "strong"): (PLAIN, "</strong>"),
+    ("start", "code"): (LEAD, "<code>"),
+    ("end", "code"): (PLAIN, "</code>"),
+    ("start", "link"): (LEAD, '<a href="{dest}{title}" target="_blank">'),
+    ("end", "link"): (PLAIN, "</a>"),
+    ("start", "image"): (LEAD, '<img src="{dest}" alt="'),
+    ("alt", ""): (BREAK, "{alt}"),
+    ("end", "image"): (LEAD, '{title}" />'),
+    ("start", "note_definition"): (BREAK, '<aside id="{note}"><sup>{note}</sup>'),
+    ("end", "note_definition"): (PLAIN, "</aside>\n"),
+}
+
+
+def flatten_images(events: Iterable[Event]) -> Iterator[Event]:
+    """Events with an image's inside as plain ``alt`` events, between its start and its end (which has its title)."""
+    inside: list[Event] = []
+    for e in events:
+        if not inside:
+            yield e
+            inside = [e] if (e.kind, e.tag) == ("start", "image") else []
+        elif e.kind == "start":
+            inside.append(e)
+        elif e.kind == "end":
+            opened = inside.pop()
+            if not inside:
+                yield Event("end", "image", title=opened.title)
+        elif e.kind in ("soft", "hard"):
+            yield Event("alt", text=" ")
+        elif e.kind in ("text", "note"):
+            yield Event("alt", text=e.text, info=e.kind)
 
 
-class Renderer:
-    """Folds events into HTML. What opens inline waits in ``pending``, so that a thin space can go before it.
+def number_notes(events: list[Event]) -> dict[str, int]:
+    """Names of notes by first sight, whether referred to or defined there."""
+    named = (e.text for e in events if e.kind == "note" or e.info == "note" and e.kind == "alt" or (e.kind, e.tag) == ("start", "note_definition"))
+    return {name: k for k, name in enumerate(dict.fromkeys(named), 1)}
 
-    compat keeps the behaviour of the program that this follows where its documents say otherwise: a thin space between
-    Chinese and Chinese across events, header cells aligned from the last row's width on, spacing across table
-    cells, raw link targets. Without compat these follow the documented rules and attributes are escaped.
-    """
 
-    INLINE = {"emphasis": "em", "strong": "strong", "code": "code"}
-    BLOCK = {"paragraph": ("<p>", "</p>\n"), "rule": ("<hr />\n", ""), "quote": ("<blockquote>\n", "</blockquote>\n"), "item": ("<li>", "</li>\n")}
-
-    def __init__(self, lint: Lint, compat: bool = True) -> None:
-        self.lint, self.compat = lint, compat
-        self.out: list[str] = []
-        self.pending, self.state = "", "U"
-        self.notes: dict[str, int] = {}
-        self.head, self.aligns, self.cell = True, [], 0
-        self.alt: int | None = None
-        self.image: Event | None = None
-
-    def flush(self) -> None:
-        if self.pending:
-            self.out.append(self.pending)
-            self.pending = ""
-
-    def raw(self, text: str) -> None:
-        self.flush()
-        self.out.append(text)
-        self.state = "U"
-
-    def line(self) -> None:
-        self.flush()
-        last = next((x for x in reversed(self.out) if x), "")
-        if last and not last.endswith("\n"):
-            self.out.append("\n")
-        self.state = "U"
-
-    def attribute(self, text: str) -> str:
-        return text if self.compat else html.escape(text)
-
-    def text(self, text: str) -> None:
-        now, was = script_of(text[0]) if text else "U", self.state
-        known = "U" not in (was, now)
-        if known and ("C" in (was, now) and was != now or self.compat and was == now == "C"):
-            self.out.append(THIN_SPACE)
-        self.flush()
-        self.out.append(self.lint(text))
-        self.state = script_of(text[-1]) if text else "U"
-
-    def note(self, name: str) -> int:
-        return self.notes.setdefault(name, len(self.notes) + 1)
-
-    def feed(self, e: Event) -> None:
-        if self.alt is not None:
-            self._alt(e)
-        elif e.kind == "text":
-            self.text(e.text)
-        elif e.kind in ("html", "inline_html"):
-            self.raw(e.text)
-        elif e.kind == "soft":
-            self.line()
-        elif e.kind == "hard":
-            self.raw("<br />\n")
-        elif e.kind == "note":
-            n = self.note(e.text)
-            self.raw(f'⁠<sup><a href="#{n}">{n}</a></sup>')
-        elif e.kind == "start":
-            self._start(e)
+def place_cells(events: list[Event], compat: bool) -> Iterator[tuple[str, str]]:
+    """(element, alignment) of each event that a table cell starts or ends with; other events get empty ones.
+
+    The column counts cells since the row's start; a head goes on from the last row's width under compat.
+    """
+    aligns, element, column = [], "th", 0
+    for e in events:
+        if e.kind == "start" and e.tag == "table":
+            aligns = e.aligns
+        elif e.kind == "start" and (e.tag == "table_row" or e.tag == "table_head" and not compat):
+            column = 0
+        if e.tag == "table_head":
+            element = "th" if e.kind == "start" else "td"
+        if e.tag != "table_cell":
+            yield "", ""
+            continue
+        yield element, aligns[column] if column < len(aligns) else "none"
+        column += e.kind == "end"
+
+
+def resolve(events: Iterable[Event], lint: Lint, compat: bool) -> Iterator[tuple[str, str, Event]]:
+    """(how it stands, fragment, event) of every event. Without compat attributes are escaped."""
+    flat = list(flatten_images(events))
+    notes = number_notes(flat)
+    attribute = (lambda x: x) if compat else html.escape
+    for e, (element, align) in zip(flat, place_cells(flat, compat), strict=True):
+        role, template = FRAGMENTS.get((e.kind, e.tag), (PLAIN, ""))
+        if e.kind == "text":
+            yield role, lint(e.text), e
+        elif "{" not in template:
+            yield role, template, e
         else:
-            self._end(e)
-
-    def _alt(self, e: Event) -> None:
-        """Inside an image only plain text counts."""
-        if e.kind == "start":
-            self.alt += 1
-        elif e.kind == "end" and self.alt:
-            self.alt -= 1
-        elif e.kind == "end":
-            self.alt = None
-            title = f'" title="{self.lint(self.image.title)}' if self.image.title else ""
-            self.pending += f'{title}" />'
-        elif e.kind == "text":
-            self.raw(self.attribute(e.text))
-        elif e.kind in ("soft", "hard"):
-            self.raw(" ")
-        elif e.kind == "note":
-            self.raw(f"[{self.note(e.text)}]")
-
-    def _start(self, e: Event) -> None:
-        tag = e.tag
-        if tag in self.BLOCK:
-            self.line()
-            self.out.append(self.BLOCK[tag][0])
-        elif tag == "header":
-            self.line()
-            self.out.append(f"<h{e.level}>")
-        elif tag == "table":
-            self.line()
-            self.aligns = e.aligns
-            self.out.append("<table>")
-        elif tag == "table_head":
-            self.head = True
-            if not self.compat:
-                self.cell = 0
-            self.pending += "<thead><tr>"
-        elif tag == "table_row":
-            self.cell = 0
-            self.pending += "<tr>"
-        elif tag == "table_cell":
-            if not self.compat:
-                self.state = "U"
-            align = self.aligns[self.cell] if self.cell < len(self.aligns) else "none"
-            self.pending += ("<th" if self.head else "<td") + (f' align="{align}"' if align != "none" else "") + ">"
-        elif tag == "code_block":
-            self.line()
             lang = e.info.split(" ")[0]
-            self.out.append(f'<pre><code lang="{self.attribute(lang)}">' if lang else "<pre><code>")
-        elif tag == "list":
-            self.line()
-            self.out.append("<ul>\n" if e.list_start is None else "<ol>\n" if e.list_start == 1 else f'<ol start="{e.list_start}">\n')
-        elif tag in self.INLINE:
-            self.pending += f"<{self.INLINE[tag]}>"
-        elif tag == "link":
-            title = f'" title="{self.lint(e.title)}' if e.title else ""
-            self.pending += f'<a href="{self.attribute(e.dest)}{title}" target="_blank">'
-        elif tag == "image":
-            self.pending += f'<img src="{self.attribute(e.dest)}" alt="'
-            self.alt, self.image = 0, e
-        elif tag == "note_definition":
-            n = self.note(e.text)
-            self.raw(f'<aside id="{n}"><sup>{n}</sup>')
-
-    def _end(self, e: Event) -> None:
-        self.flush()
-        tag = e.tag
-        if tag in self.BLOCK:
-            self.out.append(self.BLOCK[tag][1])
-        elif tag == "header":
-            self.out.append(f"</h{e.level}>\n")
-        elif tag == "table":
-            self.out.append("</tbody></table>\n")
-        elif tag == "table_head":
-            self.out.append("</tr></thead><tbody>\n")
-            self.head = False
-        elif tag == "table_row":
-            self.out.append("</tr>\n")
-        elif tag == "table_cell":
-            self.out.append("</th>" if self.head else "</td>")
-            self.cell += 1
-        elif tag == "code_block":
-            self.out.append("</code></pre>\n")
-        elif tag == "list":
-            self.out.append("</ul>\n" if e.list_start is None else "</ol>\n")
-        elif tag in self.INLINE:
-            self.out.append(f"</{self.INLINE[tag]}>")
-        elif tag == "link":
-            self.out.append("</a>")
-        elif tag == "note_definition":
-            self.out.append("</aside>\n")
-
-    def html(self) -> str:
-        self.flush()
-        return "".join(self.out)
+            values = {
+                "raw": e.text, "level": e.level, "note": notes.get(e.text), "cell": element, "align": "" if align == "none" else f' align="{align}"',
+                "lang": f' lang="{attribute(lang)}"' if lang else "", "list": "ul" if e.list_start is None else "ol", "first": "" if e.list_start in (None, 1) else f' start="{e.list_start}"',
+                "dest": attribute(e.dest), "title": f'" title="{lint(e.title)}' if e.title else "", "alt": f"[{notes[e.text]}]" if e.info == "note" else attribute(e.text),
+            }
+            yield role, template.format_map(values), e
+
+
+def spaced(was: str, now: str, compat: bool) -> bool:
+    """Whether a thin space goes between texts of these scripts; under compat also between Chinese and Chinese."""
+    return "U" not in (was, now) and "C" in (was, now) and (was != now or compat)
+
+
+def assemble(fragments: Iterable[tuple[str, str, Event]], compat: bool) -> str:
+    """The fragments put together: lines begun, thin spaces between texts that meet, before what opens around the second."""
+    out: list[str] = []
+    was, lead, ended = "U", -1, True  # the last text's script, where what opens before the next text begins, whether a line has ended
+    for role, s, e in fragments:
+        if role == TEXT:
+            if e.text and spaced(was, script_of(e.text[0]), compat):
+                out.insert(lead if lead >= 0 else len(out), THIN_SPACE)
+            was = script_of(e.text[-1]) if e.text else "U"
+        elif role in (LINE, BREAK):
+            was = "U"
+            if role == LINE and not ended:
+                out.append("\n")
+                ended = True
+        elif e.tag == "table_cell" and e.kind == "start" and not compat:
+            was = "U"
+        lead = (lead if lead >= 0 else len(out)) if role == LEAD else -1
+        if s:
+            out.append(s)
+            ended = s.endswith("\n")
+    return "".join(out)
 
 
 # Front matter labels and their columns.
@@ -445,59 +422,56 @@ LABELS = {"本文发表于：": "released", "最后修改于：": "modified", "
 OTHER_SLUG = "地址："
 
 
-def render(events: Iterator[Event], lint: Lint, compat: bool = True) -> str:
-    r = Renderer(lint, compat)
-    for e in events:
-        r.feed(e)
-    return r.html()
+def render(events: Iterable[Event], lint: Lint, compat: bool = True) -> str:
+    """HTML of the events.
+
+    compat keeps the behaviour of the program that this follows where its documents say otherwise: a thin space between
+    Chinese and Chinese across events, header cells aligned from the last row's width on, spacing across table
+    cells, raw link targets. Without compat these follow the documented rules and attributes are escaped.
+    """
+    return assemble(resolve(events, lint, compat), compat)
+
+
+def split_posts(events: list[Event]) -> Iterator[tuple[list[Event], list[Event], list[Event]]]:
+    """(title, front matter, body) of each post. A first-level heading begins one; it waits for its front matter, the first code block, first."""
+    at = lambda start, wanted: next((k for k in range(start, len(events)) if wanted(events[k])), len(events))
+    top = lambda e: e.kind == "start" and e.tag == "header" and e.level == 1
+    block = lambda kind: lambda e: e.kind == kind and e.tag == "code_block"
+    begin = at(0, top)
+    while begin < len(events):
+        front, body = at(begin, block("start")), at(begin, block("end"))
+        begin, last = at(body + 1, top), begin
+        yield events[last:front], events[front:body], events[body + 1 : begin]
 
 
 def read_posts(text: str, lint: Lint, compat: bool = True, other_slug: bool = False) -> Iterator[dict[str, str]]:
-    """The posts of a bundle. A first-level heading begins a post, unless the post before still waits for its front matter."""
+    """The posts of a bundle."""
     labels = LABELS | ({OTHER_SLUG: "pagename"} if other_slug else {})
-    events = tokenize(text)
-    is_top = lambda e: e.kind == "start" and e.tag == "header" and e.level == 1
-    more = any(is_top(e) for e in events)
-    while more:
-        post = dict.fromkeys(("title", "released", "modified", "category", "pagename"), "")
-        title, body = True, Renderer(lint, compat)
-        for e in events:
-            if e.kind == "start" and e.tag == "code_block":
-                title = False
-            elif e.kind == "end" and e.tag == "code_block":
-                break
-            elif e.kind == "text" and title:
-                post["title"] += lint(e.text)
-            elif e.kind == "text":
-                for label, column in labels.items():
-                    if e.text.startswith(label):
-                        post[column] += e.text[len(label) :].rstrip()
-                        break
-        more = False
-        for e in events:
-            if is_top(e):
-                more = True
-                break
-            body.feed(e)
-        yield post | {"data": body.html()}
+    for title, front, body in split_posts(list(tokenize(text))):
+        post = {"title": "".join(lint(e.text) for e in title if e.kind == "text")} | dict.fromkeys(LABELS.values(), "")
+        for e in front:
+            label = next((x for x in labels if e.kind == "text" and e.text.startswith(x)), None)
+            if label:
+                post[labels[label]] += e.text[len(label) :].rstrip()
+        yield post | {"data": render(body, lint, compat)}
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(bundle, value): one row a file, whole."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("bundle"), "value")
+    """(bundle, value): one row a file, whole. Bytes that aren't UTF-8 are an error."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("bundle"), F.validate_utf8(F.col("content").cast("string")).alias("value"))
 
 
 def posts(bundles: DataFrame, patterns: DataFrame, compat: bool = True, other_slug: bool = False) -> DataFrame:
     """The posts of (bundle, value), with their order in the bundle."""
     shared = bundles.sparkSession.sparkContext.broadcast({r["letters"]: list(r["points"]) for r in patterns.toLocalIterator()})
+    names = "title", "released", "modified", "category", "pagename", "data"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lint = Lint(Hyphenator(shared.value))
-        schema = pa.schema([("bundle", pa.string()), ("ord", pa.int64()), *((c, pa.string()) for c in ("title", "released", "modified", "category", "pagename", "data"))])
         for batch in batches:
-            for bundle, value in zip(batch.column("bundle").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                rows = [{"bundle": bundle, "ord": k} | p for k, p in enumerate(read_posts(value or "", lint, compat, other_slug))]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows = [(bundle, k, *map(p.__getitem__, names)) for bundle, value in zip(batch.column("bundle").to_pylist(), batch.column("value").to_pylist(), strict=True) for k, p in enumerate(read_posts(value or "", lint, compat, other_slug))]
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_pydict({name: pa.array(col, pa.int64() if name == "ord" else pa.string()) for name, col in zip(("bundle", "ord", *names), cols, strict=True)})
 
     return bundles.select("bundle", "value").mapInArrow(run, POSTS)
 

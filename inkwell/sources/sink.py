@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import shutil
+import struct
 import time
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path, PurePosixPath
@@ -66,6 +68,13 @@ def write_site(spark: SparkSession, files: DataFrame, folder: str, assets: dict[
 STYLE = b"body{max-width:40em;margin:auto;font-family:serif;line-height:1.6}pre{overflow:auto}nav a{margin-left:1em}\n"
 
 
+def favicon(colour: tuple[int, int, int] = (32, 32, 48), size: int = 16) -> bytes:
+    """A PNG of one colour."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = (b"\0" + bytes(colour) * size) * size
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", size, size, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def copy_asset(source: str, folder: str, name: str) -> None:
     Path(folder).mkdir(parents=True, exist_ok=True)
     shutil.copyfile(source, Path(folder) / name)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.plans import site
 from inkwell.sources.sink import unsafe_paths, write_site
@@ -36,3 +37,25 @@ def test_unsafe_paths(spark, tmp_path):
     assert {r["path"] for r in unsafe_paths(bad).collect()} == {"a/../b", "/c", "d", "e//f"}
     with pytest.raises(ValueError, match="paths"):
         write_site(spark, bad, str(tmp_path))
+
+
+def test_one_far_post_does_not_put_the_others_in_one_range(spark):
+    posts = _posts(spark, 40).withColumn("ord", F.when(F.col("ord") == 0, 10**12).otherwise(F.col("ord")))
+    got = site.numbered(posts).orderBy("ord").collect()
+    assert [r["rn"] for r in got] == list(range(len(got)))
+
+
+def test_assets_and_bytes(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from inkwell.sources.markdown import read_bundles
+    from inkwell.sources.sink import copy_asset, favicon
+
+    assert favicon()[:8] == b"\x89PNG\r\n\x1a\n"
+    (tmp_path / "a.md").write_bytes("# 标题\n".encode())
+    assert read_bundles(spark, str(tmp_path / "a.md")).collect()[0]["value"] == "# 标题\n"
+    (tmp_path / "b.md").write_bytes(b"# \xff\n")
+    with pytest.raises(PySparkException):
+        read_bundles(spark, str(tmp_path / "b.md")).collect()
+    copy_asset(str(tmp_path / "a.md"), str(tmp_path / "out"), "b")
+    assert (tmp_path / "out" / "b").read_bytes() == "# 标题\n".encode()

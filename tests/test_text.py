@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given
@@ -93,3 +94,44 @@ def test_lint_can_be_undone(x):
     for a, b in reversed(t.ESCAPES):
         y = y.replace(b, a)
     assert y.replace(SHY, "").replace(THIN, "") == x
+
+
+def test_compiled_table_reads_every_pattern(spark):
+    """Walking the packed table by a pattern's letters ends at a state whose output holds the pattern's own digits."""
+    patterns = h.us_english_patterns(spark)
+    rows, pool, fill = h.compile_table(patterns)
+    by_place = {r[0]: r for r in rows}
+    assert len(rows) == len(by_place) and fill > 95
+    for r in patterns.collect():
+        at = 0
+        for c in r["letters"]:
+            place = by_place[at][1] + ord(c)
+            assert by_place[place][2] == at
+            at = place
+        data = by_place[at][4]
+        out = pool[data >> 4 : (data >> 4) + (data & 15)]
+        assert len(out) >= len(r["points"]) and all(x >= p for x, p in zip(out[::-1], r["points"][::-1], strict=False))
+    assert by_place[0][2:4] == (-1, 0)
+
+
+def test_superstring_holds_all():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("012") for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    got = h.shortest_superstring(texts)
+    assert all(t in got for t in texts) and len(got) < sum(map(len, set(texts)))
+
+
+def test_sample_can_be_had_again(spark):
+    words = spark.createDataFrame([(w,) for w in ["abcde", "fghij", "klmno", "abcdef", "xy"]], "word string")
+    first, again = (sorted(map(tuple, h.sample_words(words, 50, seed=3).collect())) for _ in range(2))
+    assert first == again and len(first) == 100 and {len(w) for _, _, w in first} == {5, 6}
+    assert first != sorted(map(tuple, h.sample_words(words, 50, seed=4).collect()))
+
+
+def test_patterns_of_any_length(spark):
+    """Patterns of one letter and of more than ten, alike in both plans."""
+    patterns = h.parse_patterns(spark.createDataFrame([("q1",), ("abcdefghijk3l",)], "line string"))
+    words = spark.createDataFrame([("aqqabcdefghijklmn",), ("present",)], "word string")
+    got = {r["word"]: r["hyphenated"] for r in h.hyphenate_words(words, patterns).collect()}
+    one = h.Hyphenator({r["letters"]: list(r["points"]) for r in patterns.collect()})
+    assert got == {w: one(w) for w in got} and got["aqqabcdefghijklmn"].count(h.SOFT_HYPHEN) == 3
