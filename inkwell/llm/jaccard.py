@@ -9,7 +9,7 @@
    without listing pairs. Each group is joined by a prefix tree (``tree_links``), entered only where a set shares one of
    the probe's rarest shingles, is of a fitting size and not yet of its component. A group beyond ``MOST_TOKENS`` is cut
    into parts that are joined each with a few common pivots; after that only documents outside the group's main
-   component still have to meet the other parts, and do.
+   component still have to meet the others, and do: few of them meet every part, many are dealt, with all others, by their rarest shingles.
 
 Lower-casing is A-Z only, words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no shingles and no links; with
 fewer than five words the whole sequence is one. Rows without doc_id are left out; repeated rows get equal results.
@@ -427,6 +427,19 @@ def _join_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pack").applyInArrow(lambda t: _links(t), "a long, b long")
 
 
+def _by_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets for each share of their group that one of their rarest shingles falls to; linked sets have one of these in common."""
+    for batch in batches:
+        where, task = [], []
+        for k, (group, shares, prefix, tokens) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("group", "shares", "prefix", "tokens")), strict=True)):
+            own = np.unique(mix(_tokens(tokens)[:prefix]) % np.uint64(shares)).astype(np.int64)
+            where.append(np.full(len(own), k))
+            task.append(mix(own.astype(np.uint64) + mix(np.array([group], np.int64).astype(np.uint64))).view(np.int64))
+        if where:
+            rows, tasks = batch.take(pa.array(np.concatenate(where))), pa.array(np.concatenate(task))
+            yield pa.RecordBatch.from_pydict({"pack": tasks, "task": tasks} | {c: rows.column(c) for c in ("doc_id", "n", "tokens", "probe", "known")})
+
+
 def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_TOKENS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs that has a doc_id."""
     spark = docs.sparkSession
@@ -462,15 +475,22 @@ def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_T
         scratch.drop("cut")
         main = rooted.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
         rest = scratch.save(rooted.join(main, "group").where("root <> main"), "rest")
-        # Those outside the main component meet every part, a bounded number at a time.
-        turns = rest.groupBy("group").agg(F.ceil(F.sum("weight") / most_tokens).cast("int").alias("turns"))
+        # Those outside the main component still have to meet the others: where they are few, every part, a bounded number at a
+        # time; else by their rarest shingles, so that a group's work follows its size, not its square.
+        spread = F.sum(F.col("weight") * F.col("prefix"))
+        whole = rooted.groupBy("group").agg(F.sum("weight").alias("tokens"), spread.alias("spread"), F.max("parts").alias("parts"))
+        ways = rest.groupBy("group").agg(F.sum("weight").alias("outside")).join(whole, "group").select("group", F.ceil(F.col("outside") / most_tokens).cast("int").alias("turns"), F.ceil(F.col("spread") / most_tokens).cast("int").alias("shares"), (F.col("outside") * F.col("parts") + F.col("tokens") * F.ceil(F.col("outside") / most_tokens) > F.col("spread")).alias("by_token"))
+        ways = scratch.save(ways, "ways")
+        turns = ways.where("not by_token").select("group", "turns")
         probes = rest.join(turns, "group").withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("turns")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         held = rooted.join(turns, "group").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         task = lambda part: F.xxhash64("group", part, "turn")
         meet = probes.select(task("to").alias("pack"), task("to").alias("task"), "doc_id", "n", "tokens", F.lit(True).alias("probe"), F.col("root").alias("known"))
         meet = meet.unionByName(held.select(task("part").alias("pack"), task("part").alias("task"), "doc_id", "n", "tokens", F.lit(False).alias("probe"), F.col("root").alias("known")))
+        many = rooted.join(main, "group").join(ways.where("by_token").select("group", "shares"), "group").select("group", "shares", "doc_id", "n", "prefix", "tokens", (F.col("root") != F.col("main")).alias("probe"), F.col("root").alias("known"))
+        meet = meet.unionByName(many.mapInArrow(_by_token, "pack long, task long, doc_id long, n long, tokens binary, probe boolean, known long"))
         links = scratch.save(links.union(first_links).union(_join_groups(meet)), "all-links")
-        for name in ("links", "first", "rooted", "rest"):
+        for name in ("links", "first", "rooted", "rest", "ways"):
             scratch.drop(name)
     # A representative need not have its copies' smallest doc_id; with an edge to that one a root is the component's id.
     least = rows.groupBy(F.col("rep").alias("a")).agg(F.min("doc_id").alias("b")).where("a <> b")

@@ -173,6 +173,16 @@ def test_jaccard(spark, docs, rows, scratch, most):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _components(rows)
 
 
+@pytest.mark.parametrize("most", [300, 2000])
+def test_jaccard_of_one_giant_group_without_links(spark, scratch, most):
+    """Every document shares three quarters of its blocks with the next: one group, cut into parts, with few links."""
+    block = lambda k: " ".join(f"b{k}x{i}" for i in range(10))
+    rows = [(k, " ".join(block(k + i) for i in range(4))) for k in range(150)] + [(1000 + k, " ".join(block(3 * k + i) for i in (0, 1, 2, 3)) + " end") for k in range(9)]
+    got = jaccard.group_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), scratch, most).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _components(rows)
+    assert len({r["component_id"] for r in got}) == 150
+
+
 def test_jaccard_of_nothing(docs, scratch):
     assert jaccard.group_documents(docs.limit(0), scratch).count() == 0
 
