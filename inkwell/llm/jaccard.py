@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles overlap by 75 % or more, and their components.
 
 1. Each text gives its set of shingle hashes. Equal sets of one task are merged at once; sets equal across tasks meet by a
-   128-bit signature. The others' shingles are shuffled by hash, packed, and counted.
+   128-bit signature. The others' shingles are shuffled by hash, packed, and counted; a slice of documents sends one that it has
+   several times once.
 2. Shingles that two or more sets hold go back to their documents. One with less than 75 % of its set among
    them can't be linked. The rest are ordered from the rarest shingle on; a linked pair shares one of the first
    ``n - ceil(0.75 n) + 1``.
@@ -40,7 +41,7 @@ BUCKETS_PER_PARTITION = 2
 _LOW = np.uint64((1 << 48) - 1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
-_DOCS, _SIGNS, _POSTINGS, _SAME = range(4)
+_DOCS, _SIGNS, _POSTINGS, _SAME, _LOCAL, _SEVERAL, _COUNTS = range(7)
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -246,15 +247,29 @@ def _block(chunk: np.ndarray, nb: int) -> np.ndarray:
     return (mix(chunk.astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
 
 
+def _low(x: np.ndarray, n: int) -> np.ndarray:
+    """The low n bytes of each number."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n].reshape(-1)
+
+
+def _number(x: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(x) // n, 8), np.uint8)
+    out[:, :n] = x.reshape(-1, n)
+    return out.view(np.uint64).ravel()
+
+
 def _five(x: np.ndarray) -> np.ndarray:
-    """The low five bytes of each number; with its bucket they name a shingle."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+    """Five bytes; with its bucket they name a shingle."""
+    return _low(x, 5)
 
 
 def _from_five(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = x.reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return _number(x, 5)
+
+
+def _name(low: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """48 bits of a shingle's five bytes and bucket."""
+    return mix(low | bucket.astype(np.uint64) << np.uint64(40)) & _LOW
 
 
 def _map(nb: int):
@@ -285,7 +300,17 @@ def _map(nb: int):
                 out.add(_SIGNS, b, ids[use[x]], one[use[x]], two[use[x]], np.repeat(chunk, len(x)))
             on = fresh[doc]
             doc, s = doc[on], s[on]
-            for b, x in split_by(bucket_of(s << np.uint64(16), nb), nb):
+            # A shingle that the slice has several times is sent once for it, with its count; its postings go straight home.
+            distinct, back, times = np.unique(s, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(times > 1)
+            for b, x in split_by(bucket_of(distinct[several] << np.uint64(16), nb), nb):
+                out.add(_SEVERAL, b, chunk, np.array([len(x)], np.uint32), _five(distinct[several[x]]), times[several[x]].astype(np.uint32))
+            here = np.flatnonzero(times[back] > 1)
+            who, count = runs(doc[here])
+            out.add(_LOCAL, home, chunk, np.array([len(who)], np.uint32), who.astype(np.uint32), count.astype(np.uint32), _low(s[here], 6))
+            alone = np.flatnonzero(times[back] == 1)
+            for b, x in split_by(bucket_of(s[alone] << np.uint64(16), nb), nb):
+                x = alone[x]
                 who, count = runs(doc[x])
                 out.add(_POSTINGS, b, chunk, np.array([len(who)], np.uint32), who.astype(np.uint32), count.astype(np.uint32), _five(s[x]))
             yield out.batch()
@@ -298,10 +323,11 @@ def _count(nb: int):
 
     def run(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
         out = Out()
-        for p in got.get(_DOCS, []):
-            out.kind.append(_DOCS)
-            out.bucket.append(bucket)
-            out.payload.append(p)
+        for kind in (_DOCS, _LOCAL):
+            for p in got.get(kind, []):
+                out.kind.append(kind)
+                out.bucket.append(bucket)
+                out.payload.append(p)
         if _SIGNS in got:
             ids, one, two, chunk = join(got[_SIGNS])
             order = np.lexsort((ids, two, one))
@@ -311,21 +337,24 @@ def _count(nb: int):
             on = np.flatnonzero(root != ids)
             for b, x in split_by(_block(chunk[on], nb), nb):
                 out.add(_SAME, b, ids[on[x]], root[on[x]])
-        if _POSTINGS in got:
-            chunk, size, who, count, low = join(got[_POSTINGS])
-            chunk = np.repeat(np.repeat(chunk, size), count)
-            who, s = np.repeat(who, count), _from_five(low)
-            order = np.argsort(s)
-            _, times = runs(s[order])
-            df = np.empty(len(s), np.uint16)
-            df[order] = np.repeat(np.minimum(times, 65535), times)
-            on = np.flatnonzero(df > 1)
-            # The bucket's number is the same for all, so five bytes and it are the token.
-            for b, x in split_by(_block(chunk[on], nb), nb):
-                x = on[x]
-                cs, cn = runs(chunk[x])
-                pair, pn = runs(chunk[x] << 20 | who[x])
-                out.add(_POSTINGS, b, np.array([bucket], np.uint32), np.array([len(x)], np.uint32), np.array([len(pair)], np.uint32), np.array([len(cs)], np.uint32), cs, cn.astype(np.uint32), (pair & 0xFFFFF).astype(np.uint32), pn.astype(np.uint32), _five(s[x]), df[x])
+        none = np.zeros(0, np.int64)
+        chunk, size, who, count, low = join(got[_POSTINGS]) if _POSTINGS in got else [none] * 4 + [np.zeros(0, np.uint8)]
+        chunk, who, s = np.repeat(np.repeat(chunk, size), count), np.repeat(who, count), _from_five(low)
+        slices, many, low, times = join(got[_SEVERAL]) if _SEVERAL in got else [none] * 2 + [np.zeros(0, np.uint8), none]
+        slices, again = np.repeat(slices, many), _from_five(low)
+        _, back = np.unique(np.concatenate([s, again]), return_inverse=True)
+        df = np.minimum(np.bincount(back, np.concatenate([np.ones(len(s)), times])), 65535).astype(np.uint16)[back]
+        # The bucket's number is the same for all, so five bytes and it are the token.
+        where, on = np.array([bucket], np.uint32), np.flatnonzero(df[: len(s)] > 1)
+        for b, x in split_by(_block(chunk[on], nb), nb):
+            x = on[x]
+            cs, cn = runs(chunk[x])
+            pair, pn = runs(chunk[x] << 20 | who[x])
+            out.add(_POSTINGS, b, where, np.array([len(x)], np.uint32), np.array([len(pair)], np.uint32), np.array([len(cs)], np.uint32), cs, cn.astype(np.uint32), (pair & 0xFFFFF).astype(np.uint32), pn.astype(np.uint32), _five(s[x]), df[x])
+        for b, x in split_by(_block(slices, nb), nb):
+            # A block needs a count once, whichever of its slices have the shingle.
+            low, first = np.unique(again[x], return_index=True)
+            out.add(_COUNTS, b, where, np.array([len(low)], np.uint32), _five(low), df[len(s) :][x[first]])
         return as_table([out.batch()])
 
     return run
@@ -335,7 +364,14 @@ FOUND = "kind int, doc_id long, other long, n long, prefix int, tokens binary"
 _FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("tokens", pa.binary())])
 
 
-def _documents(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
+def _documents(nb: int):
+    def run(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
+        return _rows(got, nb)
+
+    return run
+
+
+def _rows(got: dict[int, list[bytes]], nb: int) -> pa.Table:
     """A block's documents: their rows, those with an equal set elsewhere, and the sets that can have links."""
     parts = []
     copies: set[int] = set()
@@ -349,12 +385,20 @@ def _documents(bucket: int, got: dict[int, list[bytes]]) -> pa.Table:
         base = np.cumsum(size) - size
         order = np.argsort(slices)
         slices, base = slices[order], base[order]
+    held = []
     if _POSTINGS in got:
         where, size, pairs, n_slices, cs, cn, who, count, low, df = join(got[_POSTINGS])
-        chunk = np.repeat(cs, cn)
         # A document's place in the block; it is known by its slice and number there.
-        row = base[np.searchsorted(slices, chunk)] + np.repeat(who, count)
-        token = mix(_from_five(low) | np.repeat(where.astype(np.uint64), size) << np.uint64(40)) & _LOW
+        held.append((base[np.searchsorted(slices, np.repeat(cs, cn))] + np.repeat(who, count), _name(_from_five(low), np.repeat(where, size)), df))
+    if _COUNTS in got:
+        where, size, low, df = join(got[_COUNTS])
+        known, first = np.unique(_name(_from_five(low), np.repeat(where, size)), return_index=True)
+        cs, cn, who, count, low = join(got[_LOCAL])
+        s = _number(low, 6)
+        token = _name(s & np.uint64((1 << 40) - 1), bucket_of(s << np.uint64(16), nb))
+        held.append((np.repeat(np.repeat(base[np.searchsorted(slices, cs)], cn) + who, count), token, df[first][np.searchsorted(known, token)]))
+    if held:
+        row, token, df = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((token, df, row))
         row, token = row[order], token[order]
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -446,7 +490,7 @@ def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_T
     nb = min(1 << 16, BUCKETS_PER_PARTITION * partitions(spark))
     source = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     counted = reduce_buckets(source.mapInArrow(_map(nb), SCHEMA), _count(nb), SCHEMA)
-    found = scratch.save(reduce_buckets(counted, _documents, FOUND), "found")
+    found = scratch.save(reduce_buckets(counted, _documents(nb), FOUND), "found")
     scratch.release()
     rows = found.where(f"kind = {_DOCS}").select("doc_id", F.col("other").alias("rep"), "n")
     same = found.where(f"kind = {_SAME}").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
