@@ -496,7 +496,8 @@ def group_documents(docs: DataFrame, scratch: Scratch, most_tokens: int = MOST_T
     same = found.where(f"kind = {_SAME}").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
     sets = found.where(f"kind = {_POSTINGS}").select("doc_id", "n", "prefix", "tokens")
 
-    near = reduce_buckets(sets.select("doc_id", "prefix", "tokens").mapInArrow(_prefixes(nb), SCHEMA), _near, "a long, b long")
+    # Fewer buckets, as documents with several rare shingles in common are one edge in each of them; rare shingles take little room.
+    near = reduce_buckets(sets.select("doc_id", "prefix", "tokens").mapInArrow(_prefixes(max(1, nb // 8)), SCHEMA), _near, "a long, b long")
     group = connected(scratch, near, "groups").select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
     # Two numbers a set; beyond the bound the sets are shuffled instead.
     group = F.broadcast(group) if group.count() <= most_broadcast else group.hint("merge")
