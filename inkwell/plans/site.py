@@ -32,6 +32,8 @@ class Identity:
 
 #: Pages whose running maximum one task takes.
 BLOCK = 4096
+#: Pages whose text one row takes before the texts are joined.
+CHUNK = 512
 
 
 def categorised(posts: DataFrame) -> DataFrame:
@@ -72,22 +74,22 @@ def newest(posts: DataFrame, n: int = FEED) -> DataFrame:
     return posts.orderBy(F.desc("modified"), "ord").limit(n)
 
 
-def sitemap_pages(posts: DataFrame) -> DataFrame:
-    """(page, lastmod): pages of all posts, with the largest modified so far.
+def sitemap_pages(posts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(page, lastmod): pages of all posts, with the largest modified so far. of: the posts, if they are numbered already.
 
     The running maximum is taken within blocks of pages; only one row a block goes through a single task.
     """
-    by_page = numbered(posts).groupBy("page").agg(F.max("modified").alias("m"))
+    by_page = (numbered(posts) if of is None else of).groupBy("page").agg(F.max("modified").alias("m"))
     pages = page_spine(posts).join(by_page, "page", "left").select("page", "m", F.expr(f"page div {BLOCK}").alias("block"))
     before = pages.groupBy("block").agg(F.max("m").alias("most")).select("block", F.max("most").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     so_far = F.max("m").over(Window.partitionBy("block").orderBy("page"))
     return pages.withColumn("m", so_far).join(before, "block").select("page", F.coalesce(F.greatest("m", "before"), F.lit("")).alias("lastmod"))
 
 
-def sitemap_posts(posts: DataFrame, me: Identity = Identity()) -> DataFrame:
+def sitemap_posts(posts: DataFrame, me: Identity = Identity(), *more: str) -> DataFrame:
     has = F.col("category") != ""
     loc = F.when(has, F.concat(F.lit(me.host + "/"), "category", F.lit("/"), "pagename", F.lit("/"))).otherwise(F.concat(F.lit(me.host + "/"), "pagename", F.lit("/")))
-    return posts.select("ord", loc.alias("loc"), F.col("modified").alias("lastmod"), F.when(has, "0.8").otherwise("0.5").alias("priority"))
+    return posts.select("ord", loc.alias("loc"), F.col("modified").alias("lastmod"), F.when(has, "0.8").otherwise("0.5").alias("priority"), *more)
 
 
 def _top(me: Identity, title: Column) -> Column:
@@ -149,14 +151,27 @@ def atom(posts: DataFrame, me: Identity = Identity()) -> DataFrame:
     return got.select(F.lit(f"{me.root}/atom.xml").alias("path"), F.concat(F.lit(head), "m", F.lit(f"</updated>\n<id>{me.host}/</id>\n<author>\n<name>{me.author}</name>\n</author>\n"), "e", F.lit("</feed>\n")).alias("content"))
 
 
-def sitemap(posts: DataFrame, me: Identity = Identity(), compat: bool = True) -> DataFrame:
-    """compat leaves the pages' <loc> open, as the program does that this follows."""
+def sitemap_chunks(posts: DataFrame, me: Identity = Identity(), compat: bool = True) -> DataFrame:
+    """(part, chunk, x): the sitemap's text by parts (head, pages, posts, foot), CHUNK pages or their posts a row.
+
+    So no task sorts or holds all entries one by one; what is left for a single task are the texts of the chunks.
+    """
     close = "" if compat else "</loc>"
+    of, chunk = numbered(posts), F.expr(f"page div {CHUNK}").alias("chunk")
     url = F.when(F.col("page") == 1, F.lit(f"<loc>{me.host}/{close}\n")).otherwise(F.concat(F.lit(f"<loc>{me.host}/page/"), "page", F.lit(f"/{close}\n")))
-    pages = sitemap_pages(posts).select(F.lit(0).alias("part"), F.col("page").alias("k"), F.concat(F.lit("<url>\n"), url, F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>\n<changefreq>weekly</changefreq>\n<priority>1.0</priority>\n</url>\n")).alias("x"))
-    each = sitemap_posts(posts, me).select(F.lit(1).alias("part"), F.col("ord").alias("k"), F.concat(F.lit("<url>\n<loc>"), "loc", F.lit("</loc>\n<lastmod>"), "lastmod", F.lit("</lastmod>\n<changefreq>monthly</changefreq>\n<priority>"), "priority", F.lit("</priority>\n</url>\n")).alias("x"))
-    got = pages.union(each).agg(F.expr("coalesce(listagg(x, '') within group (order by part, k), '')").alias("x"))
-    return got.select(F.lit(f"{me.root}/sitemap.xml").alias("path"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'), "x", F.lit("</urlset>\n")).alias("content"))
+    pages = sitemap_pages(posts, of).select(F.lit(1).alias("part"), chunk, F.col("page").alias("k"), F.concat(F.lit("<url>\n"), url, F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>\n<changefreq>weekly</changefreq>\n<priority>1.0</priority>\n</url>\n")).alias("x"))
+    each = sitemap_posts(of, me, "page").select(F.lit(2).alias("part"), chunk, F.col("ord").alias("k"), F.concat(F.lit("<url>\n<loc>"), "loc", F.lit("</loc>\n<lastmod>"), "lastmod", F.lit("</lastmod>\n<changefreq>monthly</changefreq>\n<priority>"), "priority", F.lit("</priority>\n</url>\n")).alias("x"))
+    around = [(0, 0, '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'), (3, 0, "</urlset>\n")]
+    listed = [rows.groupBy("part", "chunk").agg(_listed("x", "k").alias("x")) for rows in (pages, each)]
+    return listed[0].union(listed[1]).union(posts.sparkSession.createDataFrame(around, "part int, chunk long, x string"))
+
+
+def sitemap(posts: DataFrame, me: Identity = Identity(), compat: bool = True) -> DataFrame:
+    """compat leaves the pages' <loc> open, as the program does that this follows.
+
+    One row, as large as the file; it is passed on to another task, as a writer copies it and the task that joins the chunks still holds them.
+    """
+    return sitemap_chunks(posts, me, compat).agg(_listed("x", "part, chunk").alias("content")).select(F.lit(f"{me.root}/sitemap.xml").alias("path"), "content").repartition(1)
 
 
 def robots(posts: DataFrame, me: Identity = Identity()) -> DataFrame:

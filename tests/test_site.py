@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def test_sitemap_counts_all_posts(spark):
     assert [r["lastmod"] for r in site.sitemap_pages(posts).orderBy("page").collect()] == ["2018-01-07T00"] * 2
 
 
+def test_sitemap_is_joined_from_chunks(spark, monkeypatch):
+    monkeypatch.setattr(site, "CHUNK", 2)
+    posts = _posts(spark, 40, loose=3)
+    chunks = [r["x"] for r in site.sitemap_chunks(posts).orderBy("part", "chunk").collect()]
+    assert max(x.count("<url>") for x in chunks) <= 2 * site.PAGE
+    got = site.sitemap(posts).collect()
+    assert [r["content"] for r in got] == ["".join(chunks)]
+    assert re.findall(r"/page/(\d+)/\n", got[0]["content"]) == [str(k) for k in range(2, 7)]
+    assert re.findall(r"/p(\d+)/</loc>", got[0]["content"]) == [str(k) for k in range(40)]
+    assert site.sitemap(_posts(spark, 0)).collect()[0]["content"].count("<url>") == 1
+
+
 def test_files(spark, tmp_path):
     files = site.site_files(_posts(spark, 8, loose=1))
     write_site(spark, files, str(tmp_path), {"public/style.css": b"x"})
