@@ -124,10 +124,22 @@ def post_pages(posts: DataFrame, me: Identity = Identity()) -> DataFrame:
     return posts.select(path_join(F.lit(me.root), F.col("category"), F.col("pagename"), F.lit("index.html")).alias("path"), content.alias("content"))
 
 
+def category_chunks(posts: DataFrame, me: Identity = Identity()) -> DataFrame:
+    """(category, part, chunk, x): the text of categories' pages by parts (head, posts, foot), at most CHUNK pages of posts a row."""
+    has, parts = categorised(posts), int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = [(0, F.concat(_top(me, F.lit(me.title)), F.lit("<nav>分类 - "), "category", F.lit("</nav>"))), (2, _bottom(me))]
+    ends = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("chunk"), x.alias("x")) for part, x in around])
+    of = numbered(has).select("category", F.expr(f"page div {CHUNK}").alias("chunk"), "ord", section().alias("x"))
+    # With a number given, adaptive execution doesn't put the texts of many chunks, small when compressed, together in a few tasks.
+    listed = of.repartition(parts, "category", "chunk").groupBy("category", "chunk").agg(_listed("x", "ord").alias("x"))
+    return listed.select("category", F.lit(1).alias("part"), "chunk", "x").union(has.select("category").distinct().select("category", F.inline(ends)))
+
+
 def category_pages(posts: DataFrame, me: Identity = Identity()) -> DataFrame:
-    rows = categorised(posts).withColumn("s", section()).groupBy("category").agg(_listed("s", "ord").alias("s"))
-    content = F.concat(_top(me, F.lit(me.title)), F.lit("<nav>分类 - "), "category", F.lit("</nav>"), "s", _bottom(me))
-    return rows.select(path_join(F.lit(me.root), F.col("category"), F.lit("index.html")).alias("path"), content.alias("content"))
+    """One row a category, joined from its chunks and passed on to another task, as the sitemap is; each is written by its own, as they are large."""
+    rows = category_chunks(posts, me).groupBy("category").agg(_listed("x", "part, chunk").alias("content"))
+    path = path_join(F.lit(me.root), F.col("category"), F.lit("index.html")).alias("path")
+    return rows.select(path, "content").repartition(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def index_pages(posts: DataFrame, me: Identity = Identity()) -> DataFrame:

@@ -38,6 +38,20 @@ def test_sitemap_is_joined_from_chunks(spark, monkeypatch):
     assert site.sitemap(_posts(spark, 0)).collect()[0]["content"].count("<url>") == 1
 
 
+def test_category_pages_are_joined_from_chunks(spark, monkeypatch):
+    monkeypatch.setattr(site, "CHUNK", 2)
+    posts = _posts(spark, 80, loose=3).withColumn("category", F.when(F.col("category") == "", "").otherwise(F.concat("category", (F.col("ord") % 2).cast("string"))))
+    got = {r["path"]: r["content"] for r in site.category_pages(posts).collect()}
+    assert sorted(got) == ["public/c0/index.html", "public/c1/index.html"]
+    for k in (0, 1):
+        x = got[f"public/c{k}/index.html"]
+        assert x.startswith("<!DOCTYPE html>") and x.endswith("</html>\n") and f"<nav>分类 - c{k}</nav><section>" in x
+        assert re.findall(r'<a href="/c\d/p(\d+)/">', x) == [str(n) for n in range(3, 80) if n % 2 == k]
+    chunks = site.category_chunks(posts).collect()
+    assert max(r["x"].count("<section>") for r in chunks) <= 2 * site.PAGE
+    assert {c: "".join(r["x"] for r in sorted(chunks, key=lambda r: (r["part"], r["chunk"])) if r["category"] == c) for c in ("c0", "c1")} == {f"c{k}": got[f"public/c{k}/index.html"] for k in (0, 1)}
+
+
 def test_files(spark, tmp_path):
     files = site.site_files(_posts(spark, 8, loose=1))
     write_site(spark, files, str(tmp_path), {"public/style.css": b"x"})
